@@ -1,52 +1,108 @@
-"""Whole-text encoding through a bounded cache of pieces.
+"""Whole-text encoding through bounded caches of pieces and words.
 
 A piece ends where a single space stands between two characters that are not white space. No pre-token of the supported
-tokenizers crosses such a place, so the ids of a text are the ids of its pieces, one after the other. Each piece is
-encoded by the tokenizers library itself.
+tokenizers crosses such a place, so the ids of a text are the ids of its pieces, one after the other. A piece of plain
+Latin text is split into pre-tokens, and each new one is given to the BPE model of the tokenizers library; any other piece
+(other scripts, combining marks, special tokens) goes to the library as it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space for Python, ordinary characters for the tokenizers.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Characters that make one pre-token with each other, and none with the letters before them.
+_CLOSING = ".,!?;:|*&%$#\"()"
+#: How byte-level tokenizers split a text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level_alphabet() -> dict[int, str]:
+    """Byte-level tokenizers write a byte as a character: printable Latin-1 as itself, the others, in order, from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(b) if b in shown else chr(0x100 + sum(x not in shown for x in range(b))) for b in range(256)}
+
+
+class Recent:
+    """A cache of two generations: at `size` entries the newer becomes the older, and the older goes."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def add(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts, as bytes.
 
     keeps_spaces: a byte-level tokenizer, for which the space before a word belongs to the word. Otherwise the tokenizer
-    drops white space, and every run of it ends a piece. The cache is emptied at max_pieces entries or max_chars
-    characters of keys; pieces longer than 64 characters are not kept.
+    lower-cases and drops white space, and every run of it ends a piece. Pieces over 64 characters are not remembered.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, max_pieces: int = 300_000):
+    def __init__(self, path: str, keeps_spaces: bool, pieces: int = 150_000, words: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.keeps_spaces = keeps_spaces
-        self.max_pieces = max_pieces
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as f:
+            split = json.load(f)["pre_tokenizer"]
+        own = BYTE_LEVEL_PATTERN if keeps_spaces else next(x["pattern"]["Regex"] for x in split["pretokenizers"] if x["type"] == "Split")
+        self.split = regex.compile(own).findall
+        self.alphabet = _byte_level_alphabet()
+        self.pieces, self.words = Recent(pieces), Recent(words)
+
+    def by_library(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _look_up(self, cache: dict[str, bytes], pieces: list[str], before: str) -> list[bytes]:
-        found = list(map(cache.get, pieces))
-        if None in found:
-            new = list({p for p, x in zip(pieces, found) if x is None})
-            ids = dict(zip(new, self._encoded([before + p for p in new])))
-            found = [ids[p] if x is None else x for p, x in zip(pieces, found)]
-            if len(cache) + len(new) > self.max_pieces:
-                cache.clear()
-            cache.update((p, x) for p, x in ids.items() if len(p) <= 64)
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        cache = self.words
+        ids = cache.new.get(word)
+        if ids is None:
+            ids = cache.old.get(word)
+            if ids is None:
+                shown = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            cache.add(word, ids)
+        return ids
+
+    def _piece(self, before: str, piece: str) -> bytes:
+        """Of a piece, with the space before it if the tokenizer keeps it."""
+        core = piece.rstrip(_CLOSING)
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+            ids = self._word(before + (core if self.keeps_spaces else core.lower()))
+            return ids if len(core) == len(piece) else ids + self._word(piece[len(core) :])
+        if max(piece) > "\xff" or "<|" in piece:
+            return self.by_library(before + piece)
+        return b"".join(map(self._word, self.split(before + (piece if self.keeps_spaces else piece.lower()))))
+
+    def _look_up(self, pieces: list[str], before: str) -> list[bytes] | None:
+        """None if a piece isn't set off by single spaces."""
+        cache = self.pieces
+        found = list(map(cache.new.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            p = pieces[at]
+            ids = cache.new.get(p) or cache.old.get(p)
+            if ids is None:
+                if not p or p[0].isspace() or p[-1].isspace():
+                    return None
+                ids = self._piece(before, p)
+            if len(p) <= 64:
+                cache.add(p, ids)
+            found[at] = ids
         return found
 
     def encode(self, text: str) -> bytes:
@@ -54,17 +110,14 @@ class PieceEncoder:
             return b""
         if not self.keeps_spaces:
             if any(c in text for c in _SEPARATORS):
-                return self._encoded([text])[0]
-            return b"".join(self._look_up(self.rest, text.split(), ""))
-        pieces = text.split(" ")
-        if len(pieces) > 1 and not all(map(_clean, pieces)):
-            pieces = _SPACE.split(text)
-        head = self._look_up(self.first, pieces[:1], "")
-        return b"".join(head + self._look_up(self.rest, pieces[1:], " "))
-
-
-def _clean(piece: str) -> bool:
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+                return self.by_library(text)
+            return b"".join(self._look_up(text.split(), ""))
+        head, *rest = text.split(" ")
+        found = self._look_up(rest, " ")
+        if found is None or not head or head[-1].isspace():
+            head, *rest = _SPACE.split(text)
+            found = [self._piece(" ", p) for p in rest]
+        return b"".join([self._piece("", head), *found])
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
