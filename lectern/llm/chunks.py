@@ -7,6 +7,7 @@ document always goes to the same chunk, and what other tasks found out about a d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,33 @@ HOLD_BYTES = 24 << 20
 TYPES = "chunk int, blob binary"
 
 
+def _spark_hash(x: int) -> int:
+    """Spark's hash of an int column: 32-bit Murmur3, seed 42."""
+    m = 0xFFFFFFFF
+    turn = lambda v, r: ((v << r) | (v >> (32 - r))) & m
+    h = 42 ^ (turn(x * 0xCC9E2D51 & m, 15) * 0x1B873593 & m)
+    h = (turn(h, 13) * 5 + 0xE6546B64) & m
+    h ^= 4
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> shift)) * factor & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@cache
+def labels(n: int) -> tuple[int, ...]:
+    """n numbers that Spark deals to n different partitions: the first that goes to each."""
+    out: dict[int, int] = {}
+    x = 0
+    while len(out) < n:
+        out.setdefault(_spark_hash(x) % n, x)
+        x += 1
+    return tuple(out[i] for i in range(n))
+
+
 def chunk_of(column: str | Column, n: int) -> Column:
     c = F.col(column) if isinstance(column, str) else column
-    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(-1).cast("long"))), F.lit(n)).cast("int")
+    return F.element_at(F.lit(list(labels(n))), (F.pmod(F.xxhash64(F.coalesce(c, F.lit(-1).cast("long"))), F.lit(n)) + 1).cast("int"))
 
 
 def _blob(docs: pa.Table) -> bytes:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +20,54 @@ from pyspark.sql import DataFrame
 from . import chunks, common
 
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-KEPT_PIECES = 200_000
 
 
-class PreTokenizer:
-    """Pre-tokens of whole texts; pieces between single spaces are split once and remembered (at most KEPT_PIECES)."""
+class Pieces:
+    """Texts cut at single spaces between characters that are no white space; no pre-token crosses such a place.
 
-    def __init__(self, pattern: str):
-        import regex
+    firsts: how texts begin; rest: all other pieces, without the space before them.
+    """
 
-        self.pattern = regex.compile(pattern)
-        self.rest: dict[str, list[bytes]] = {}
+    @staticmethod
+    def _clean(piece: str) -> bool:
+        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+
+    def __init__(self, tables: list[pa.Table]):
+        self.firsts: set[str] = set()
+        self.rest: set[str] = set()
+        for t in tables:
+            for text in t.column("text"):
+                first, *rest = text.as_py().split(" ")
+                self.firsts.add(first)
+                self.rest.update(rest)
+        self.odd = {p for p in self.rest if not self._clean(p)}
+        if self.odd or not all(map(self._clean, self.firsts)):
+            self.firsts, self.rest = set(), set()
+            for t in tables:
+                for text in t.column("text"):
+                    first, *rest = self.cut(text.as_py())
+                    self.firsts.add(first)
+                    self.rest.update(rest)
+
+    def cut(self, text: str) -> list[str]:
+        pieces = text.split(" ")
+        if len(pieces) > 1 and (not self._clean(pieces[0]) or self.odd and not self.odd.isdisjoint(pieces)):
+            return _SPACE.split(text)
+        return pieces
 
-    def _split(self, piece: str) -> list[bytes]:
-        return [m.encode() for m in self.pattern.findall(piece)]
 
-    def words(self, text: str) -> list[list[bytes]]:
-        """The pre-tokens, piece by piece."""
-        if not text:
-            return []
-        pieces = text.split(" ")
-        if len(pieces) > 1 and not all(p and not p[0].isspace() and not p[-1].isspace() for p in pieces):
-            pieces = _SPACE.split(text)
-        found = list(map(self.rest.get, pieces[1:]))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    p = pieces[i + 1]
-                    x = self.rest.get(p)
-                    if x is None:
-                        if len(self.rest) >= KEPT_PIECES:
-                            self.rest.clear()
-                        x = self._split(" " + p)
-                        if len(p) <= 64:
-                            self.rest[p] = x
-                    found[i] = x
-        return [self._split(pieces[0]), *found]
+def _splitter(pattern: str):
+    """Pre-tokens of a piece, as bytes."""
+    import regex
+
+    find = regex.compile(pattern).findall
+
+    def split(piece: str) -> list[bytes]:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":  # the pattern takes it whole
+            return [piece.encode()]
+        return [m.encode() for m in find(piece)]
+
+    return split
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -90,22 +103,12 @@ def _unpack(blob: bytes, n: int, width: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends)]
 
 
-def _distinct(tables, pre: PreTokenizer) -> set[bytes]:
-    seen: set[bytes] = set()
-    for t in tables:
-        for text in t.column("text"):
-            for ws in pre.words(text.as_py()):
-                seen.update(ws)
-    return seen
-
-
 def _by_bucket(words: set[bytes], n: int) -> dict[int, list[bytes]]:
-    """Sorted words of each bucket: the order in which ids come back."""
-    import zlib
-
+    """Sorted words of each bucket, which compress better so."""
+    label = chunks.labels(n)
     out: dict[int, list[bytes]] = {}
     for w in words:
-        out.setdefault(zlib.crc32(w) % n, []).append(w)
+        out.setdefault(label[zlib.crc32(w) % n], []).append(w)
     for ws in out.values():
         ws.sort()
     return out
@@ -122,9 +125,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
     texts = chunks.packed(docs, n, **columns)
 
     def ask(key, group):
-        chunk = key[0].as_py()
-        buckets = _by_bucket(_distinct(chunks.opened(group.column("blob")), PreTokenizer(pattern)), n)
-        return pa.table({"chunk": pa.array([chunk] * len(buckets), pa.int32()), "bucket": pa.array(list(buckets), pa.int32()), "n": pa.array([len(w) for w in buckets.values()], pa.int32()), "words": pa.array([_pack_words(w) for w in buckets.values()], pa.binary())})
+        split, words = _splitter(pattern), set()
+        pieces = Pieces(list(chunks.opened(group.column("blob"))))
+        for p in pieces.firsts:
+            words.update(split(p))
+        for p in pieces.rest:
+            words.update(split(" " + p))
+        buckets = _by_bucket(words, n)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(buckets), pa.int32()), "bucket": pa.array(list(buckets), pa.int32()), "n": pa.array([len(w) for w in buckets.values()], pa.int32()), "words": pa.array([_pack_words(w) for w in buckets.values()], pa.binary())})
 
     def answer(key, group):
         enc, _ = _codec(ranks_path, pattern)
@@ -135,28 +143,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
         for words in asked:
             own = [ids[w] for w in words]
             out.append(z.compress(np.asarray([len(x) // 4 for x in own], "<i4").tobytes() + b"".join(own)))
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "n": group.column("n"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"chunk": group.column("chunk"), "n": group.column("n"), "words": group.column("words"), "ids": pa.array(out, pa.binary())})
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary())] if with_ids else [])]
 
     def assemble(group, answers):
         _, table = _codec(ranks_path, pattern)
-        pre = PreTokenizer(pattern)
-        words = _by_bucket(_distinct(chunks.opened(group.column("blob")), pre), n)
+        split = _splitter(pattern)
         of: dict[bytes, bytes] = {}
-        for b, k, blob in zip(answers.column("bucket").to_pylist(), answers.column("n").to_pylist(), answers.column("ids")):
-            of.update(zip(words[b], _unpack(blob.as_py(), k, 4), strict=True))
+        for k, words, ids in zip(answers.column("n").to_pylist(), answers.column("words").to_pylist(), answers.column("ids").to_pylist()):
+            of.update(zip(_unpack(words, k, 1), _unpack(ids, k, 4), strict=True))
+        tables = list(chunks.opened(group.column("blob")))
+        pieces = Pieces(tables)
+        joined = lambda p: b"".join([of[w] for w in split(p)])
+        firsts = {p: joined(p) for p in pieces.firsts}
+        rest = {p: joined(" " + p) for p in pieces.rest}
+        del of
         rows: list[tuple] = []
-        for t in chunks.opened(group.column("blob")):
+        for t in tables:
             for doc, text in zip(t.column("doc_id").to_pylist(), t.column("text")):
-                ids = b"".join([of[w] for ws in pre.words(text.as_py()) for w in ws])
+                first, *more = pieces.cut(text.as_py())
+                ids = b"".join([firsts[first], *map(rest.__getitem__, more)])
                 numbers = np.frombuffer(ids, "<u4")
                 back = hashlib.sha256(b"".join(map(table.__getitem__, numbers.tolist()))).hexdigest()
                 rows.append((doc, len(numbers), hashlib.sha256(ids).hexdigest(), back, ids)[: len(fields)])
         return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)] if rows else [pa.array([], t) for _, t in fields], schema=pa.schema(fields))
 
     asked = texts.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, n int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, n int, ids binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, n int, words binary, ids binary")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, out)
 

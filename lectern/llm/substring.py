@@ -106,6 +106,9 @@ def _compare(path: list[bytes], source: list[bytes], at: dict[bytes, list[int]],
 def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
     """chunk, row, doc_id, start, n_edges, source, path, words: compacted runs of edges that a smaller document has."""
 
+    label = chunks.labels(n)
+    number = {b: i for i, b in enumerate(label)}
+
     def send(key, group):
         c = Chunk(group.column("blob"))
         e = Edges(c, k)
@@ -114,7 +117,7 @@ def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
         return pa.table(
             {
                 "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
-                "bucket": pa.array(full, pa.int32()),
+                "bucket": pa.array([label[b] for b in full], pa.int32()),
                 "edges": pa.array([_planes(_differences(e.edge[to[b] : to[b + 1]])) for b in full], pa.binary()),
                 "least": pa.array([_planes(e.least[to[b] : to[b + 1]].view(np.uint64)) for b in full], pa.binary()),
             }
@@ -158,7 +161,7 @@ def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
         c = Chunk(group.column("blob"))
         e = Edges(c, k)
         least, to = e.least.copy(), e.bounds(n)
-        for b, at, low in zip(answers.column("bucket").to_pylist(), answers.column("at"), answers.column("least")):
+        for b, at, low in zip(map(number.get, answers.column("bucket").to_pylist()), answers.column("at"), answers.column("least")):
             least[to[b] + np.cumsum(_numbers(at.as_py()), dtype=np.uint64).astype(np.int64)] = _numbers(low.as_py()).view(np.int64)
         source = least[e.of]
         gone = source < c.order[e.row]
