@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_store, distinct_bpe, minhash, packing, substring
+from . import binary_store, distinct_bpe, minhash, packing, substring, topk
 from .common import table
 
 
@@ -46,6 +46,22 @@ FROM documents d JOIN least_of ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id
 """
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_store.store(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -57,8 +73,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op6_minhash": op6_minhash, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+    return {"op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash": OP6_SQL}
+    return {"op6_minhash": OP6_SQL, "op7_exact_topk": OP7_SQL}
