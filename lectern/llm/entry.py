@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_store, distinct_bpe, minhash, packing, substring, topk
+from . import binary_store, distinct_bpe, minhash, packing, quality, substring, topk
 from .common import table
 
 
@@ -16,6 +16,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -73,7 +77,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
