@@ -27,16 +27,25 @@ def _byte_level_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(0x100 + sum(x not in shown for x in range(b))) for b in range(256)}
 
 
+class _Bytes(dict):
+    """Little-endian unsigned 32-bit bytes of an id, made once."""
+
+    def __missing__(self, i: int) -> bytes:
+        return self.setdefault(i, i.to_bytes(4, "little"))
+
+
+_BYTES = _Bytes()
+
+
 class Recent:
-    """A cache of two generations: at `size` entries the newer becomes the older, and the older goes."""
+    """A cache of two generations: once it holds `size` entries, the newer becomes the older, and the older goes."""
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def add(self, key: str, value: bytes) -> None:
+    def turn(self) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
 
 
 class PieceEncoder:
@@ -46,7 +55,7 @@ class PieceEncoder:
     lower-cases and drops white space, and every run of it ends a piece. Pieces over 64 characters are not remembered.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, pieces: int = 150_000, words: int = 350_000):
+    def __init__(self, path: str, keeps_spaces: bool, pieces: int = 300_000, words: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -67,41 +76,48 @@ class PieceEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        cache = self.words
-        ids = cache.new.get(word)
+        """Of a word that the newer generation doesn't have."""
+        ids = self.words.old.get(word)
         if ids is None:
-            ids = cache.old.get(word)
-            if ids is None:
-                shown = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-            cache.add(word, ids)
+            shown = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = b"".join([_BYTES[t.id] for t in self.model.tokenize(shown)])
+        self.words.new[word] = ids
         return ids
 
     def _piece(self, before: str, piece: str) -> bytes:
         """Of a piece, with the space before it if the tokenizer keeps it."""
+        known = self.words.new.get
         core = piece.rstrip(_CLOSING)
         if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-            ids = self._word(before + (core if self.keeps_spaces else core.lower()))
-            return ids if len(core) == len(piece) else ids + self._word(piece[len(core) :])
+            word = before + core if self.keeps_spaces else core.lower()
+            ids = known(word) or self._word(word)
+            if len(core) == len(piece):
+                return ids
+            word = piece[len(core) :]
+            return ids + (known(word) or self._word(word))
         if max(piece) > "\xff" or "<|" in piece:
             return self.by_library(before + piece)
-        return b"".join(map(self._word, self.split(before + (piece if self.keeps_spaces else piece.lower()))))
+        return b"".join([known(w) or self._word(w) for w in self.split(before + (piece if self.keeps_spaces else piece.lower()))])
 
     def _look_up(self, pieces: list[str], before: str) -> list[bytes] | None:
         """None if a piece isn't set off by single spaces."""
-        cache = self.pieces
-        found = list(map(cache.new.get, pieces))
+        self.words.turn()
+        self.pieces.turn()
+        new, old = self.pieces.new, self.pieces.old.get
+        found = list(map(new.get, pieces))
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
             p = pieces[at]
-            ids = cache.new.get(p) or cache.old.get(p)
+            ids = new.get(p)
             if ids is None:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    return None
-                ids = self._piece(before, p)
-            if len(p) <= 64:
-                cache.add(p, ids)
+                ids = old(p)
+                if ids is None:
+                    if not p or p[0].isspace() or p[-1].isspace():
+                        return None
+                    ids = self._piece(before, p)
+                if len(p) <= 64:
+                    new[p] = ids
             found[at] = ids
         return found
 
@@ -117,7 +133,8 @@ class PieceEncoder:
         if found is None or not head or head[-1].isspace():
             head, *rest = _SPACE.split(text)
             found = [self._piece(" ", p) for p in rest]
-        return b"".join([self._piece("", head), *found])
+        found.insert(0, self._piece("", head))
+        return b"".join(found)
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
