@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_store, distinct_bpe, minhash, packing, quality, substring, topk
+from . import binary_store, chat, distinct_bpe, minhash, packing, quality, substring, topk
 from .common import table
 
 
@@ -28,6 +28,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapsed(table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, string_agg(length(role) || ':' || length(text) || ':' || role || text, '|') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t),
+f AS (SELECT conv_id, n, prefix FROM p WHERE pos = n),
+kept AS (SELECT conv_id FROM f WHERE NOT EXISTS (
+  SELECT 1 FROM p WHERE p.pos = f.n AND p.prefix = f.prefix AND (p.n > f.n OR p.n = f.n AND p.conv_id < f.conv_id)))
+SELECT conv_id, (pos - 1) // 64 AS part, max(n) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM t JOIN kept USING (conv_id) GROUP BY conv_id, (pos - 1) // 64
+"""
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,8 +97,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op5_chat_collapse": op5_chat_collapse, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash": OP6_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op5_chat_collapse": OP5_SQL, "op6_minhash": OP6_SQL, "op7_exact_topk": OP7_SQL}
