@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_store, chat, distinct_bpe, minhash, packing, quality, substring, topk
+from . import binary_store, chat, distinct_bpe, minhash, packing, pii, quality, substring, topk
 from .common import table
 
 
@@ -96,8 +96,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_bpe.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op5_chat_collapse": op5_chat_collapse, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op5_chat_collapse": op5_chat_collapse, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_pii_surrogates": op10_pii_surrogates}
 
 
 def oracle_sql() -> dict[str, str]:
