@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_store, chat, distinct_bpe, minhash, packing, pii, quality, substring, topk
+from . import binary_store, chat, distinct_bpe, minhash, packing, pii, quality, secret_scan, substring, topk
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -101,7 +105,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op4_substring_dedup": op4_substring_dedup, "op5_chat_collapse": op5_chat_collapse, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_pii_surrogates": op10_pii_surrogates}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_secret_scan": op3_secret_scan, "op4_substring_dedup": op4_substring_dedup, "op5_chat_collapse": op5_chat_collapse, "op6_minhash": op6_minhash, "op7_exact_topk": op7_exact_topk, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_pii_surrogates": op10_pii_surrogates}
 
 
 def oracle_sql() -> dict[str, str]:
