@@ -64,8 +64,8 @@ def opened(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(d.decompress(blob.as_py())).read_all()
 
 
-def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(chunk, blob), dealt by chunk into n partitions. Null texts are empty ones, null ids one group of their own."""
+def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, blob), dealt by chunk into n partitions. Null texts are empty ones, null ids one group of their own; extra: other columns to keep."""
 
     def pack(batches):
         held: list[pa.RecordBatch] = []
@@ -78,7 +78,7 @@ def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str
             cuts = np.flatnonzero(np.diff(chunk)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a])], pa.int32()), pa.array([_blob(t.select(["doc_id", "text"]).slice(a, b - a))], pa.binary())], names=["chunk", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a])], pa.int32()), pa.array([_blob(t.drop_columns("chunk").slice(a, b - a))], pa.binary())], names=["chunk", "blob"])
 
         for batch in batches:
             at = 0
@@ -94,5 +94,5 @@ def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str
         if held:
             yield from flush()
 
-    rows = docs.select(chunk_of(F.col(id_column).cast("long"), n).alias("chunk"), F.col(id_column).cast("long").alias("doc_id"), common.whole(text_column).alias("text"))
+    rows = docs.select(chunk_of(F.col(id_column).cast("long"), n).alias("chunk"), F.col(id_column).cast("long").alias("doc_id"), common.whole(text_column).alias("text"), *(F.col(f"`{c}`") for c in extra))
     return rows.mapInArrow(pack, TYPES).repartition(n, "chunk")

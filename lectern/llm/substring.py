@@ -19,6 +19,8 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import chunks, common, textblock
 
@@ -48,6 +50,7 @@ class Chunk:
         parts = list(chunks.opened(blobs))
         t = pa.concat_tables(parts).combine_chunks() if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         t = t.take(pa.compute.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end"))
+        self.table = t
         self.ids = t.column("doc_id").combine_chunks() if t.num_rows else pa.array([], pa.int64())
         self.order = pa.compute.fill_null(self.ids, NO_ID).to_numpy(zero_copy_only=False)
         texts = t.column("text").cast(pa.large_string())
@@ -227,26 +230,31 @@ def _gone(words: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, k: int = 13, with_text: bool = False, **columns: str) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 13, with_text: bool = False, extra: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """Removes each word covered by a window of k words that also starts in a document with a smaller id.
 
     One row for each input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and, if asked for,
-    text: the text without the removed words and what stands between them, otherwise as it was. A null or empty text, or
+    text: the text without the removed words and what stands between them, otherwise as it was; `extra` names columns of the
+    input to keep beside these. A null or empty text, or
     one of fewer than k words, loses nothing; a null id counts as larger than all others and is no source; rows that share
     an id are no source for each other; an empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    texts = chunks.packed(docs, n, **columns)
+    texts = chunks.packed(docs, n, extra=extra, **columns)
     paths = common.written(repeated_paths(texts, n, k))
     spans = confirmed(texts, paths, n, k)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if with_text else [])]
     schema = pa.schema(fields)
+    kept_types = [docs.schema[c] for c in extra]
+    kept_schema = to_arrow_schema(StructType(kept_types))
 
     def remove(group, spans):
         cols: list[list] = [[] for _ in fields]
+        others = kept_schema.empty_table()
         if group.num_rows:
             c = Chunk(group.column("blob"))
+            others = c.table.select(list(extra)).cast(kept_schema)
             of: dict[int, list[tuple[int, int]]] = {}
             for r, a, m in zip(spans.column("row").to_pylist(), spans.column("start").to_pylist(), spans.column("n_edges").to_pylist()):
                 of.setdefault(r, []).append((a, a + m + k - 1))
@@ -260,9 +268,13 @@ def without_repeats(docs: DataFrame, k: int = 13, with_text: bool = False, **col
                     row.append(text.as_py() if gone is None else _cut(raw, gone).decode())
                 for col, v in zip(cols, row):
                     col.append(v)
-        return pa.table([pa.array(v, f.type) for v, f in zip(cols, schema)], schema=schema)
+        t = pa.table([pa.array(v, f.type) for v, f in zip(cols, schema)], schema=schema)
+        for name in extra:
+            t = t.append_column(kept_schema.field(name), others.column(name))
+        return t
 
-    types = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    types = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    types = StructType([*types.fields, *kept_types])
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(remove, types)
 
 
