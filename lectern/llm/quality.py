@@ -91,11 +91,11 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 def _discounted(level: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
     """lang, code, c, p: interpolated modified Kneser-Ney probabilities of one order from its (adjusted) counts."""
     tally = level.groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def discount(i: int) -> Column:
-        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-        return F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0) & d.between(0, i), d).otherwise(F.lit(i / 2))
+        d = i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}")
+        return F.when(d.between(0, i), d).otherwise(F.lit(i / 2))  # also where a count is 0
 
     discounts = tally.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
     context = Window.partitionBy("lang", "context")
