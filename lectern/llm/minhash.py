@@ -2,10 +2,11 @@
 
 Each document's shingles are hashed once and fall into bins; a bin's smallest value is one entry of the signature, and an
 empty bin takes the value of a full one that its own sequence of probes finds. Bands of entries are bucket keys. In a
-bucket every document is a candidate with the smallest one only. A star can miss a link between two of its leaves, so a
-bucket whose documents are still in different components gets a new star, around its next document, until its documents
-are in one component or every pair of them from different components has been compared. All links are confirmed on full
-shingle sets, of the texts themselves.
+bucket every document is a candidate with the smallest one only, which bounds the pairs by the rows. A star can miss a
+link between two of its leaves, so a bucket whose documents are still in different components after that is gone through
+exactly: in blocks of bounded size, two at a time, an index over the shingles of one block counts what each document of
+the other shares with it, and only links that join two components leave the task, never pairs. All links are confirmed on
+full shingle sets, of the texts themselves.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from . import common, textblock
 from .links import components
 
 BINS, ROWS = 128, 4  # 32 bands of 4: a pair of similarity 0.75 is missed 5 times in a million
-STARS = 3  # rounds of stars before the pairs that are left are taken all at once
+BLOCK = 1024  # documents of a bucket that a task holds at a time, twice
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -136,6 +137,106 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
+class _Groups:
+    """Joins of documents into components as links are found."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _within(docs: list[int], labels: list[int], texts: list[str], sides: list[bool], size: int, percent: int) -> list[tuple[int, int]]:
+    """Links between different components: of all documents with each other, or, with sides, across them only."""
+    data, offsets = textblock.raw(pa.array(texts, pa.large_string()))
+    w = textblock.Words(data, offsets, lower=True)
+    where, h = w.windows(size, w.hashes())
+    cut = np.searchsorted(where, w.first)
+    sets = [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    n = np.array([len(x) for x in sets])
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], of[order]
+    both = any(sides)
+    side = np.array(sides)
+    groups, full, out = _Groups(), {}, []
+    label = np.array(labels)
+
+    def set_of(i: int) -> set:
+        if i not in full:
+            full[i] = shingle_words(texts[i], size)
+        return full[i]
+
+    for i, own in enumerate(sets):
+        if both and not side[i]:
+            continue
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        counts = high - low
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        shared = np.bincount(owner[np.repeat(low, counts) + step], minlength=len(sets))
+        good = (shared > 0) & (100 * shared >= percent * (n[i] + n - shared)) & (label != label[i])
+        good &= ~side if both else np.arange(len(sets)) > i
+        for j in np.flatnonzero(good).tolist():
+            if groups.find(labels[i]) == groups.find(labels[j]):
+                continue
+            x, y = set_of(i), set_of(j)
+            k = len(x & y)
+            if k and 100 * k >= percent * (len(x) + len(y) - k):
+                groups.join(labels[i], labels[j])
+                out.append((docs[i], docs[j]))
+    return out
+
+
+def links_within(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that join the components (c) of the documents of each bucket of open_ (key, doc_id, c).
+
+    Texts of fewer than `size` words are one shingle and equal only to themselves, so they have no part in this.
+    """
+    n = common.partitions(open_.sparkSession)
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    once = sizes.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(once, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int"))
+    # block i meets block j >= i once; each document goes wherever its block does
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("side"), "doc_id", "c")
+    rows = rows.join(texts, "doc_id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches):
+        z = zstandard.ZstdDecompressor()
+        at, docs, labels, shut, sides = None, [], [], [], []
+
+        def found():
+            across = at[1] != at[2]
+            if len(docs) < 2 or len(set(labels)) < 2 or across and len(set(sides)) < 2:
+                return []
+            return _within(docs, labels, [z.decompress(x).decode() for x in shut], sides if across else [False] * len(docs), size, percent)
+
+        for batch in batches:
+            links = []
+            for key, i, j, side, doc, c, text in zip(*(batch.column(batch.schema.get_field_index(f)).to_pylist() for f in ("key", "i", "j", "side", "doc_id", "c", "shut"))):
+                if at != (key, i, j):
+                    if at is not None:
+                        links += found()
+                    at, docs, labels, shut, sides = (key, i, j), [], [], [], []
+                docs.append(doc)
+                labels.append(c)
+                shut.append(text)
+                sides.append(side)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+        if at is not None:
+            links = found()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
@@ -155,27 +256,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column
     active = common.written(entries.join(crowded, "key"))
     texts = common.written(_shut(base).join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
     same = known.join(classes, ["n_shingles", "fingerprint"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links, found, old = None, None, []
-    label = active.withColumn("c", F.col("doc_id"))
-    for star in range(STARS + 1):
-        buckets = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("doc_id", "n", "c")).alias("hub")).where("low <> high").select("key", "hub")
-        open_ = common.written(label.join(buckets, "key"))
-        old.append(open_)
-        near = f"100 * least(n, %s) >= {percent} * greatest(n, %s)"
-        if star < STARS:
-            pairs = open_.where("doc_id > hub.doc_id and c <> hub.c and " + near.replace("%s", "hub.n")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        else:
-            x, y = open_.select("key", F.col("doc_id").alias("a"), F.col("n"), F.col("c")), open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = x.join(y, "key").where("a < b and c <> d and " + near.replace("%s", "m")).select("a", "b").distinct()
-        new = common.written(linked(pairs, texts, size, percent))
-        links = new if links is None else links.unionAll(new)
-        if star == STARS or open_.isEmpty():
-            break
-        found = common.written(components(links))
-        rest = open_.where("doc_id > hub.doc_id").select("key", "doc_id", "n")
-        label = rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    found = components(links.unionAll(same))
-    common.forget(texts, active, *old)
+    hubs = active.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"))
+    near = active.join(hubs, "key").where(f"doc_id > hub.doc_id and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    links = common.written(linked(near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, size, percent))
+    found = common.written(components(links))
+    label = active.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    open_ = common.written(label.join(mixed, "key"))
+    more = common.written(links_within(open_, texts, size, percent))
+    found = common.written(components(links.unionAll(more).unionAll(same)))
+    common.forget(texts, active, open_)
     out = sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
