@@ -24,7 +24,7 @@ from .tokenizing import encoder
 
 END_ID = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LOAD = 4  # keys in a bucket, on average
+_LOAD = 2  # keys in a bucket, on average: fewer make a larger index, more take many tries for the last free slots
 _FIELDS = [("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_nulls", pa.int64()), ("keys", pa.binary()), ("displacements", pa.binary()), ("fingerprints", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())]
 SCHEMA = "part int, seq int, start_in_part long, n_docs long, n_ids long, n_nulls long, keys binary, displacements binary, fingerprints binary, offsets binary, lengths binary, payload binary"
 
@@ -60,27 +60,36 @@ class PerfectHash:
         order = np.argsort(home, kind="stable")
         sizes = np.bincount(home, minlength=buckets)
         ends = np.cumsum(sizes)
-        displacements, taken = np.zeros(buckets, np.int32), np.zeros(n, bool)
+        displacements, taken = np.zeros(buckets, np.int32), bytearray(n)
         by_size = np.argsort(-sizes, kind="stable")
-        tries = np.arange(1, 65, dtype=np.uint64)
-        for b in by_size[: int(np.count_nonzero(sizes > 1))]:
-            own = hashes[order[ends[b] - sizes[b] : ends[b]]]
-            first = np.uint64(0)
-            while True:
-                slots = cls._slots(own[:, None], (tries + first)[None, :], n)
-                good = ~taken[slots].any(axis=0)
-                if len(own) > 1:
-                    good &= (np.diff(np.sort(slots, axis=0), axis=0) != 0).all(axis=0)
-                if good.any():
-                    at = int(np.argmax(good))
-                    displacements[b] = int(tries[at] + first)
-                    taken[slots[:, at]] = True
-                    break
-                first += np.uint64(64)
-        single = by_size[np.count_nonzero(sizes > 1) : np.count_nonzero(sizes)]
-        displacements[single] = -1 - np.flatnonzero(~taken)[: len(single)]
+        several = int(np.count_nonzero(sizes > 1))
+        own = hashes[order].tolist()
+        for b, end, size in zip(by_size[:several].tolist(), ends[by_size[:several]].tolist(), sizes[by_size[:several]].tolist()):
+            displacements[b] = cls._displace(own[end - size : end], taken, n)
+        single = by_size[several : np.count_nonzero(sizes)]
+        displacements[single] = -1 - np.flatnonzero(np.frombuffer(taken, np.uint8) == 0)[: len(single)]
         return cls(n, displacements)
 
+    @staticmethod
+    def _displace(own: list[int], taken: bytearray, n: int) -> int:
+        """The first displacement that sends all of a bucket's hashes to different free slots, which are then taken."""
+        d, all_ones = 0, (1 << 64) - 1
+        while True:
+            d += 1
+            slots = []
+            for h in own:
+                x = h + d * 0x9E3779B97F4A7C15 & all_ones
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & all_ones
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & all_ones
+                slot = (x ^ x >> 31) % n
+                if taken[slot] or slot in slots:
+                    break
+                slots.append(slot)
+            else:
+                for slot in slots:
+                    taken[slot] = 1
+                return d
+
     @staticmethod
     def _slots(hashes: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -52,7 +52,7 @@ class PieceEncoder:
     """Little-endian unsigned 32-bit ids of whole texts, as bytes.
 
     keeps_spaces: a byte-level tokenizer, for which the space before a word belongs to the word. Otherwise the tokenizer
-    lower-cases and drops white space, and every run of it ends a piece. Pieces over 64 characters are not remembered.
+    lower-cases and drops white space, and every run of it ends a piece.
     """
 
     def __init__(self, path: str, keeps_spaces: bool, pieces: int = 300_000, words: int = 350_000):
@@ -113,11 +113,10 @@ class PieceEncoder:
             if ids is None:
                 ids = old(p)
                 if ids is None:
-                    if not p or p[0].isspace() or p[-1].isspace():
+                    if before and (not p or p[0].isspace() or p[-1].isspace()):
                         return None
                     ids = self._piece(before, p)
-                if len(p) <= 64:
-                    new[p] = ids
+                new[p] = ids
             found[at] = ids
         return found
 
