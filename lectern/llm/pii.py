@@ -179,17 +179,21 @@ def replaced(docs: DataFrame, key: str = "lectern", text_column: str = "text") -
     an empty table stays empty; other columns stay, but for one that is called n_entities, which is replaced. `key` is the
     secret that makes surrogates unguessable, and alike between runs.
     """
-    text = F.col(text_column)
-    none = F.array().cast("array<string>")
+    text, none = F.col("text"), F.array().cast("array<string>")
+    columns = [c for c in docs.columns if c != "n_entities"]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c != text_column]
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
-    marked = common.written(docs.drop("n_entities").withColumn("found_", F.coalesce(found, none)))
-    some = marked.where(F.size("found_") > 0).withColumn("key_", F.sha2(text_column, 256))
-    lists = some.select("key_", "found_").dropDuplicates(["key_"])
-    table = replacements(lists.select(F.explode("found_").alias("surface")).distinct(), key)
-    put = lists.select("key_", F.posexplode("found_").alias("at", "surface")).join(table, "surface").groupBy("key_").agg(F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("put_"))
+    # the other columns travel under one name, so theirs cannot clash with those used here
+    rows = docs.select(F.struct(F.lit(0).alias("c"), *others).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    marked = common.written(rows.withColumn("found", F.coalesce(found, none)))
+    some = marked.where(F.size("found") > 0).withColumn("key", F.sha2("text", 256))
+    lists = some.select("key", "found").dropDuplicates(["key"])
+    table = replacements(lists.select(F.explode("found").alias("surface")).distinct(), key)
+    put = lists.select("key", F.posexplode("found").alias("at", "surface")).join(table, "surface").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("put"))
     gaps = F.split(text, ENTITY, -1)
-    new = F.array_join(F.zip_with(gaps, F.concat(F.transform("put_", lambda x: x["replacement"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    columns = [c for c in docs.columns if c != "n_entities"]
-    changed = some.join(put, "key_").select(*(new.alias(c) if c == text_column else F.col(f"`{c}`") for c in columns), F.size("found_").cast("long").alias("n_entities"))
-    same = marked.where(F.size("found_") == 0).select(*(F.col(f"`{c}`") for c in columns), F.lit(0).cast("long").alias("n_entities"))
-    return same.unionAll(changed)
+    new = F.array_join(F.zip_with(gaps, F.concat(F.transform("put", lambda x: x["replacement"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    def whole(part: DataFrame, value: Column) -> DataFrame:
+        return part.select(*(value.alias(c) if c == text_column else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)), F.size("found").cast("long").alias("n_entities"))
+
+    return whole(marked.where(F.size("found") == 0), text).unionAll(whole(some.join(put, "key"), new))

@@ -249,7 +249,7 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     model = hash_arrays(kneser_ney(counts), bits)
     rows = common.written(measured(base, model))
     common.forget(counts)
-    reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.col("n_words"))
+    reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words"), F.lit(1)))
     away = F.col("nll") - F.col("middle")
     inside = F.coalesce(away.between(-lower * reach, upper * reach), F.lit(True))
     out = rows.join(bands(rows), "lang", "left").withColumn("base_failed", F.expr(BASE_FAILED))
