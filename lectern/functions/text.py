@@ -54,7 +54,7 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end with a period and white space, unless an abbreviation stands before it."""
-    held = F.regexp_replace(text, rf"(?iU)(?<!\S)({'|'.join(ABBREVIATIONS)})(\.*)\.\s+", f"$1$2.{_HELD}")
+    held = F.regexp_replace(text, rf"(?iU)(?<!\S)({'|'.join(ABBREVIATIONS)})(\.*|\s+)\.\s+", f"$1$2.{_HELD}")
     end = lambda i, pieces: F.when(i < F.size(pieces) - 1, ".").otherwise("")
     whole = let(F.split(held, r"(?U)\.\s+", -1), lambda pieces: F.transform(pieces, lambda p, i: F.concat(strip(F.replace(p, F.lit(_HELD), F.lit(" "))), end(i, pieces))))
     return F.filter(whole, lambda s: s != "")

@@ -55,7 +55,7 @@ class SentenceTransformerEmbedder:
 
 def hash_embed(rows: DataFrame, key: list[str], dim: int = 64, text_column: str = "text") -> DataFrame:
     """key, vector: hashed bag of tokens, of length 1. A stand-in without knowledge of meaning, for tests and offline use."""
-    cells = rows.select(*key, F.explode(F.array_append(F.transform(T.tokens(F.col(text_column)), lambda t: bucket(t, dim)), F.lit(-1))).alias("b"))
+    cells = rows.select(*key, F.explode(F.array_append(F.transform(T.tokens(F.coalesce(F.col(text_column), F.lit(""))), lambda t: bucket(t, dim)), F.lit(-1))).alias("b"))
     counts = cells.groupBy(*key, "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     maps = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))

@@ -114,7 +114,7 @@ def paragraph_split(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.posexplode(T.paragraphs(doubled)).alias("i", "text"))
 
 
-@query(rf"""WITH h AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(^|\s)({"|".join(T.ABBREVIATIONS)})(\.*)\.\s+', '\1\2\3.' || chr(1), 'gi'), '\.\s+') AS ps FROM documents),
+@query(rf"""WITH h AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(^|\s)({"|".join(T.ABBREVIATIONS)})(\.*|\s+)\.\s+', '\1\2\3.' || chr(1), 'gi'), '\.\s+') AS ps FROM documents),
 s AS (SELECT doc_id, len(ps) AS n, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM h),
 o AS (SELECT doc_id, i, {_strip("replace(p, chr(1), ' ')")} || CASE WHEN i < n THEN '.' ELSE '' END AS text FROM s)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS i, text FROM o WHERE text <> ''""")
@@ -283,9 +283,9 @@ def hash_embed(spark, sf):
 # retrieval -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_BM25} SELECT query_id, chunk_key, round(score, 4) AS score, rank FROM sparse WHERE rank <= 5")
+@query(f"WITH {_BM25} SELECT query_id, chunk_key, score, rank FROM sparse WHERE rank <= 5")
 def bm25_topk(spark, sf):
-    return sparse.search(sparse.index(_chunks(spark, sf)), _questions(spark, sf), 5).withColumn("score", F.round("score", 4))
+    return sparse.search(sparse.index(_chunks(spark, sf)), _questions(spark, sf), 5)
 
 
 @query(f"WITH {_BM25} SELECT query_id, count(*) AS matched, round(sum(score), 2) AS total FROM bm GROUP BY query_id")
@@ -310,12 +310,8 @@ reranked AS (SELECT query_id, chunk_key, original_rank, round(s, 5) AS rerank_sc
 
 
 def _hybrid(spark, sf) -> DataFrame:
-    chunks = _chunks(spark, sf).join(_vectors(spark, sf).drop("label"), "chunk_key", "left")
-    asked = _questions(spark, sf).join(_vectors(spark, sf), F.col("chunk_key") == F.col("query_id")).select("query_id", "text", "vector")
-    r = retriever.HybridRetriever(chunks.where(F.col("vector").isNotNull()), sparse.index(_chunks(spark, sf)), stand_in=True, fusion_top_n=15)
-    r_all = fusion.fuse([dense.search(r.chunks, asked, r.dense_top_k), sparse.search(r.index, asked, r.sparse_top_k)], top=r.fusion_top_n)
-    full = r_all.join(chunks.drop("vector"), "chunk_key").join(asked.select("query_id", F.col("text").alias("query")), "query_id")
-    return fusion.rerank(full, None, r.final_top_k)
+    fused = fusion.fuse(list(_lists(spark, sf)), top=15).join(_chunks(spark, sf), "chunk_key")
+    return fusion.rerank(fused.join(_questions(spark, sf).select("query_id", F.col("text").alias("query")), "query_id"), None, 5)
 
 
 @query(f"WITH {_BM25}, {_BY_ITEM}, {_FUSED}, {_RERANKED} SELECT query_id, chunk_key, original_rank, rerank_score, rank FROM reranked WHERE rank <= 5")
@@ -336,10 +332,9 @@ def hybrid_search(spark, sf):
 
 
 @query(f"""WITH {_BM25}, {_BY_ITEM}, a AS (SELECT * FROM dense WHERE rank <= 5), b AS (SELECT * FROM sparse WHERE rank <= 5)
-SELECT query_id, rank, a.chunk_key AS dense_key, round(a.score, 4) AS dense_score, b.chunk_key AS sparse_key, round(b.score, 4) AS sparse_score FROM a FULL JOIN b USING (query_id, rank)""")
+SELECT query_id, rank, a.chunk_key AS dense_key, a.score AS dense_score, b.chunk_key AS sparse_key, b.score AS sparse_score FROM a FULL JOIN b USING (query_id, rank)""")
 def dense_sparse_side_by_side(spark, sf):
-    both = evaluation.side_by_side(*_lists(spark, sf))
-    return both.withColumn("dense_score", F.round("dense_score", 4)).withColumn("sparse_score", F.round("sparse_score", 4))
+    return evaluation.side_by_side(*_lists(spark, sf))
 
 
 @query(f"""WITH {_BM25}, {_BY_ITEM}, u AS (SELECT query_id, chunk_key FROM dense WHERE rank <= 5 UNION ALL SELECT query_id, chunk_key FROM sparse WHERE rank <= 5),
