@@ -77,7 +77,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_loaded: dict[tuple, tuple] = {}
+_loaded: dict[tuple, tuple] = common.kept_between_tasks({})
 
 
 def _codec(path: str, pattern: str):
@@ -125,6 +125,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
     texts = chunks.packed(docs, n, **columns)
 
     def ask(key, group):
+        common.lean()
         split, words = _splitter(pattern), set()
         pieces = Pieces(list(chunks.opened(group.column("blob"))))
         for p in pieces.firsts:

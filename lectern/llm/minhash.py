@@ -78,6 +78,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches):
+        common.lean()
         for batch in batches:
             ids = batch.column(0)
             for at, w in textblock.blocks(batch.column(1), lower=True):
@@ -119,6 +120,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """Those of pairs (a, b) of which 100 * intersection >= percent * union on full sets. texts: doc_id, shut."""
 
     def confirm(batches):
+        common.lean()
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             a, b, last, hub = [], [], None, set()
@@ -209,6 +211,7 @@ def links_within(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
     rows = rows.join(texts, "doc_id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches):
+        common.lean()
         z = zstandard.ZstdDecompressor()
         at, docs, labels, shut, sides = None, [], [], [], []
 

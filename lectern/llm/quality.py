@@ -60,6 +60,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """lang, code, c: all n-grams of highest order of all texts."""
 
     def count(batches):
+        common.lean()
         held: dict[str, tuple[list, list]] = {}
 
         def rows(lang):
@@ -88,6 +89,13 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
 
+def _by_language(rows: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
+    """rows with what facts (one row for each language) says. A language of most rows is spread over all tasks."""
+    n = common.partitions(rows.sparkSession)
+    salted = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt_"))
+    return rows.withColumn("salt_", F.pmod(F.hash(spread), F.lit(n))).join(salted, ["lang", "salt_"], "left").drop("salt_")
+
+
 def _discounted(level: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
     """lang, code, c, p: interpolated modified Kneser-Ney probabilities of one order from its (adjusted) counts."""
     tally = level.groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
@@ -99,7 +107,7 @@ def _discounted(level: DataFrame, order: int, lower: DataFrame | None) -> DataFr
 
     discounts = tally.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
     context = Window.partitionBy("lang", "context")
-    rows = level.withColumn("context", F.shiftright("code", 8)).join(discounts, "lang")
+    rows = _by_language(level, discounts, "code").withColumn("context", F.shiftright("code", 8))
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = rows.withColumn("d", d).withColumn("total", F.sum("c").over(context)).withColumn("spare", F.sum("d").over(context))
     own = (F.col("c") - F.col("d")) / F.col("total")
@@ -179,6 +187,7 @@ def measured(docs: DataFrame, model: HashArrays) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
+        common.lean()
         lm = shared.value
         for batch in batches:
             langs = _languages(batch.column(1))
@@ -252,5 +261,5 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words"), F.lit(1)))
     away = F.col("nll") - F.col("middle")
     inside = F.coalesce(away.between(-lower * reach, upper * reach), F.lit(True))
-    out = rows.join(bands(rows), "lang", "left").withColumn("base_failed", F.expr(BASE_FAILED))
+    out = _by_language(rows, bands(rows), "doc_id").withColumn("base_failed", F.expr(BASE_FAILED))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", F.exp("nll").alias("perplexity"))

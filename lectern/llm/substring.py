@@ -113,6 +113,7 @@ def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
     number = {b: i for i, b in enumerate(label)}
 
     def send(key, group):
+        common.lean()
         c = Chunk(group.column("blob"))
         e = Edges(c, k)
         to = e.bounds(n)
@@ -127,6 +128,7 @@ def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
         )
 
     def meet(key, group):
+        common.lean()
         edges = [np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in group.column("edges")]
         least = np.concatenate([_numbers(x.as_py()) for x in group.column("least")]).view(np.int64)
         sizes = np.array([len(x) for x in edges])
@@ -161,6 +163,7 @@ def repeated_paths(texts: DataFrame, n: int, k: int) -> DataFrame:
     out = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_edges", pa.int32()), ("source", pa.int64()), ("path", pa.binary()), ("words", pa.binary())])
 
     def compact(group, answers):
+        common.lean()
         c = Chunk(group.column("blob"))
         e = Edges(c, k)
         least, to = e.least.copy(), e.bounds(n)
@@ -195,6 +198,7 @@ def confirmed(texts: DataFrame, paths: DataFrame, n: int, k: int) -> DataFrame:
     out = pa.schema([("source", pa.int64()), ("path", pa.binary()), ("edge", pa.int32()), ("edges", pa.int32()), ("source_start", pa.int32())])
 
     def check(group, asked):
+        common.lean()
         cols: list[list] = [[] for _ in out]
         if asked.num_rows and group.num_rows:
             c = Chunk(group.column("blob"))
@@ -250,6 +254,7 @@ def without_repeats(docs: DataFrame, k: int = 13, with_text: bool = False, extra
     kept_schema = to_arrow_schema(StructType(kept_types))
 
     def remove(group, spans):
+        common.lean()
         cols: list[list] = [[] for _ in fields]
         others = kept_schema.empty_table()
         if group.num_rows:

@@ -12,6 +12,8 @@ import json
 import os
 import re
 
+from . import common
+
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space for Python, ordinary characters for the tokenizers.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -136,7 +138,7 @@ class PieceEncoder:
         return b"".join(found)
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = common.kept_between_tasks({})
 
 
 def encoder(path: str, keeps_spaces: bool) -> PieceEncoder:
