@@ -57,7 +57,7 @@ class PieceEncoder:
     lower-cases and drops white space, and every run of it ends a piece.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, pieces: int = 300_000, words: int = 350_000):
+    def __init__(self, path: str, keeps_spaces: bool, pieces: int = 500_000, words: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -77,29 +77,38 @@ class PieceEncoder:
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _tokens(self, word: str) -> bytes:
+        """Of one pre-token, by the model."""
+        shown = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([_BYTES[t.id] for t in self.model.tokenize(shown)])
+
     def _word(self, word: str) -> bytes:
-        """Of a word that the newer generation doesn't have."""
-        ids = self.words.old.get(word)
+        """Of a pre-token that is no piece of letters."""
+        cache = self.words
+        ids = cache.new.get(word) or cache.old.get(word)
+        if ids is None:
+            ids = cache.new[word] = self._tokens(word)
+        return ids
+
+    def _letters(self, before: str, core: str) -> bytes:
+        """Of letters, which are a piece of their own where they stand alone."""
+        if not self.keeps_spaces:
+            core = core.lower()
+        cache = self.pieces
+        ids = cache.new.get(core)
         if ids is None:
-            shown = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
-            ids = b"".join([_BYTES[t.id] for t in self.model.tokenize(shown)])
-        self.words.new[word] = ids
+            ids = cache.new[core] = cache.old.get(core) or self._tokens(before + core)
         return ids
 
     def _piece(self, before: str, piece: str) -> bytes:
         """Of a piece, with the space before it if the tokenizer keeps it."""
-        known = self.words.new.get
         core = piece.rstrip(_CLOSING)
-        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-            word = before + core if self.keeps_spaces else core.lower()
-            ids = known(word) or self._word(word)
-            if len(core) == len(piece):
-                return ids
-            word = piece[len(core) :]
-            return ids + (known(word) or self._word(word))
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff") and (before or not self.keeps_spaces):
+            ids = self._letters(before, core)
+            return ids if len(core) == len(piece) else ids + self._word(piece[len(core) :])
         if max(piece) > "\xff" or "<|" in piece:
             return self.by_library(before + piece)
-        return b"".join([known(w) or self._word(w) for w in self.split(before + (piece if self.keeps_spaces else piece.lower()))])
+        return b"".join(map(self._word, self.split(before + (piece if self.keeps_spaces else piece.lower()))))
 
     def _look_up(self, pieces: list[str], before: str) -> list[bytes] | None:
         """None if a piece isn't set off by single spaces."""
