@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HOLD_BYTES = 24 << 20
+HOLD_BYTES = 12 << 20
 TYPES = "chunk int, blob binary"
 
 

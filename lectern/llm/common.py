@@ -10,12 +10,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own_folder: list[str] = []
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers of this session import the package that the driver uses."""
+    """Lets Python workers of this session import the package that the driver uses, and bounds the batches they get by
+    bytes, since a batch of 10 000 long texts takes much memory on both sides. A limit that the user has set stays."""
+    if spark.conf.get(BATCH_LIMIT) == "67108864b":  # the default
+        spark.conf.set(BATCH_LIMIT, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:

@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from . import chunks, common, textblock
 
+CHUNKS = 2  # for each shuffle partition: smaller ones take less memory, more of them more rows between the two joins
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -49,6 +50,7 @@ class Chunk:
     def __init__(self, blobs: pa.ChunkedArray):
         parts = list(chunks.opened(blobs))
         t = pa.concat_tables(parts).combine_chunks() if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        del parts
         t = t.take(pa.compute.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end"))
         self.table = t
         self.ids = t.column("doc_id").combine_chunks() if t.num_rows else pa.array([], pa.int64())
@@ -68,7 +70,12 @@ class Edges:
             rows.append((doc + at).astype(np.int32))
             places.append((where - w.first[doc]).astype(np.int32))
             hashes.append(h)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+
+        def cat(parts: list, kind: type) -> np.ndarray:
+            out = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()
+            return out
+
         self.row, self.place, self.hash = cat(rows, np.int32), cat(places, np.int32), cat(hashes, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         ordered = self.hash[order]
@@ -244,7 +251,7 @@ def without_repeats(docs: DataFrame, k: int = 13, with_text: bool = False, extra
     an id are no source for each other; an empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    n = common.partitions(spark)
+    n = CHUNKS * common.partitions(spark)
     texts = chunks.packed(docs, n, extra=extra, **columns)
     paths = common.written(repeated_paths(texts, n, k))
     spans = confirmed(texts, paths, n, k)
