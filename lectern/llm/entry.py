@@ -36,9 +36,9 @@ OP4_SQL = """
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM words, unnest(range(1, len(w) - 11)) AS r(i) WHERE len(w) >= 13),
 least_of AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
-gone AS (SELECT DISTINCT doc_id, i + j AS at FROM windows JOIN least_of USING (k), range(0, 13) AS o(j) WHERE first < doc_id),
-each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS t FROM each ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM windows JOIN least_of USING (k), range(0, 13) AS o(j) WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t FROM each ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
