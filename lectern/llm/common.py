@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own_folder: list[str] = []
+_paths: dict[SparkSession, list[str]] = {}
 
 
 def ready(spark: SparkSession) -> None:
@@ -43,16 +44,27 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _paths.setdefault(spark, []).append(path)
     return out
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of written() of this session. Results that are not yet written or collected still need theirs."""
+    for path in _paths.pop(spark, []):
+        _delete(spark, path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later read needs."""
     for df in tables:
         spark, path = df.sparkSession, getattr(df, "written_path", None)
         if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _held: list = []

@@ -20,7 +20,7 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 PHONE = rf"{_EDGE}\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{1,4}}{_END}|{_EDGE}\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}{_END}"
 SSN = rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}"
-IBAN = rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{_END}"
+IBAN = rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{3,7}}(?: [A-Z0-9]{{1,3}})?){_END}"
 CARD = rf"{_EDGE}(?:[0-9]{{4}}[ -]){{3}}[0-9]{{4}}{_END}|{_EDGE}[0-9]{{13,19}}{_END}"
 #: Titles that tell a person, by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "г-н", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "госпожа")}
@@ -122,7 +122,7 @@ def mentions(surfaces: DataFrame) -> DataFrame:
     one = lambda t, c: F.struct(t.alias("type"), c.alias("canonical"))
     family = one(F.concat(F.lit("family_"), script), F.lower(F.element_at(words, -1)))
     person = F.when(F.size(words) == 3, F.array(one(F.concat_ws("_", gender, script), F.lower(words[1])), family)).otherwise(F.array(family))
-    canonical = F.when(kind == "email", F.lower(s)).when(kind.isin("phone", "card", "ssn"), _only_digits(s)).otherwise(s)
+    canonical = F.when(kind == "email", F.lower(s)).when(kind.isin("phone", "card", "ssn"), _only_digits(s)).when(kind == "iban", F.replace(s, F.lit(" "))).otherwise(s)
     return surfaces.select("surface", kind.alias("type"), F.when(kind == "person", person).otherwise(F.array(one(kind, canonical))).alias("entities"))
 
 
@@ -145,12 +145,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def _filled(surface: Column, digits: Column) -> Column:
-    """The layout of a mention with other digits."""
+def _filled(surface: Column, new: Column, kept: str = "[^0-9]") -> Column:
+    """The layout of a mention (characters of `kept`) with other digits."""
 
     def put(ch: Column, i: Column) -> Column:
-        nth = F.length(_only_digits(F.substring(surface, F.lit(1), i + 1)))
-        return F.when(ch.rlike("[0-9]"), F.substring(digits, nth, F.lit(1))).otherwise(ch)
+        nth = F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), kept, ""))
+        return F.when(ch.rlike(kept), ch).otherwise(F.substring(new, nth, F.lit(1)))
 
     return F.array_join(F.transform(F.split(surface, ""), put), "")
 
@@ -160,7 +160,7 @@ def _replacement() -> Column:
     s, kind, first = F.col("surface"), F.col("type"), F.col("surrogates")[0]
     names = F.array_join(F.transform("surrogates", lambda x: F.initcap(x)), " ")
     cased = F.when(F.upper(s) == s, F.upper(first)).otherwise(first)
-    return F.when(kind == "person", F.concat(F.substring_index(s, " ", 1), F.lit(" "), names)).when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), _filled(s, first)).otherwise(first)
+    return F.when(kind == "person", F.concat(F.substring_index(s, " ", 1), F.lit(" "), names)).when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), _filled(s, first)).when(kind == "iban", _filled(s, first, " ")).otherwise(first)
 
 
 def replacements(surfaces: DataFrame, key: str) -> DataFrame:

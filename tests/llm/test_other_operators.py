@@ -124,8 +124,9 @@ MADE = {
     "ip": "97.51.17.173",
     "ssn": "078-05-1120",
     "iban": "DE89370400440532013000",
+    "grouped": "GB82 WEST 1234 5698 7654 32",
 }
-SHAPE = {"email": r"[a-z]{3}\.\d\d@[a-z]+\.example", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "card": r"(\d{4} ){3}\d{4}", "number": r"\d{16}", "ip": r"(\d{1,3}\.){3}\d{1,3}", "ssn": r"\d{3}-\d\d-\d{4}", "iban": r"DE\d{20}"}
+SHAPE = {"email": r"[a-z]{3}\.\d\d@[a-z]+\.example", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "card": r"(\d{4} ){3}\d{4}", "number": r"\d{16}", "ip": r"(\d{1,3}\.){3}\d{1,3}", "ssn": r"\d{3}-\d\d-\d{4}", "iban": r"DE\d{20}", "grouped": r"GB\d\d [A-Z]{4} (\d{4} ){3}\d\d"}
 
 
 def luhn(digits):
