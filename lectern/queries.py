@@ -500,6 +500,22 @@ def built_in_cases(spark, sf):
     return testset.built_in(spark).groupBy("answer_type").agg(F.count(F.lit(1)).alias("cases"))
 
 
+@query("SELECT difficulty, cases FROM (VALUES ('easy', 5::BIGINT), ('medium', 4::BIGINT), ('hard', 2::BIGINT)) t(difficulty, cases)")
+def answerable_cases(spark, sf):
+    cases = testset.built_in(spark)
+    every = testset.chosen(cases, "factual").unionAll(testset.chosen(cases, "conceptual"))
+    return every.groupBy("difficulty").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@query()
+def demo_search(spark, sf):
+    asked = testset.demo_queries(spark)
+    chunks = _chunks(spark, sf).join(embedding.hash_embed(_chunks(spark, sf), ["chunk_key"]), "chunk_key")
+    r = retriever.HybridRetriever(chunks, sparse.index(_chunks(spark, sf)), stand_in=True)
+    hits = r.search(asked.join(embedding.hash_embed(asked, ["query_id"]), "query_id"))
+    return hits.join(asked.select("query_id", "note"), "query_id").select("note", "query_id", "chunk_key", "rank", "original_rank")
+
+
 @query("SELECT provider, models FROM (VALUES ('claude', 3::BIGINT), ('openai', 4::BIGINT), ('ollama', 3::BIGINT)) t(provider, models)")
 def model_presets(spark, sf):
     return generation.presets(spark).groupBy("provider").agg(F.count(F.lit(1)).alias("models"))
