@@ -207,15 +207,44 @@ def fixed_chunk_stats(spark, sf):
     return chunking.stats(chunking.fixed(_t(spark, sf, "documents")).withColumn("strategy", F.lit("fixed")))
 
 
-@query()
+def _passages(source: str, most: int, least: int) -> str:
+    """CTEs up to `passages` (doc_id, chunk_id, text, boundary), from a query for (doc_id, text) whose lines are paragraphs.
+
+    A fold over units: paragraphs, and the sentences of those that are too long.
+    """
+    sentences = rf"regexp_split_to_array(regexp_replace(p, '(^|\s)({'|'.join(T.ABBREVIATIONS)})(\.*|\s+)\.\s+', '\1\2\3.' || chr(1), 'gi'), '\.\s+')"
+    return rf"""RECURSIVE src AS ({source}),
+lines AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM src)),
+para AS (SELECT doc_id, l, {_strip("raw")} AS p FROM lines WHERE {_strip("raw")} <> ''),
+pieces AS (SELECT doc_id, l, unnest(ss) AS s, generate_subscripts(ss, 1) AS k, len(ss) AS n FROM (SELECT doc_id, l, {sentences} AS ss FROM para WHERE length(p) > {most})),
+units AS (SELECT doc_id, l, 0 AS k, p AS t, 'p' AS kind FROM para WHERE length(p) <= {most}
+  UNION ALL SELECT doc_id, l, k, {_strip("replace(s, chr(1), ' ')")} || CASE WHEN k < n THEN '.' ELSE '' END, 's' FROM pieces),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) AS i FROM units WHERE t <> ''),
+fold AS (
+  SELECT doc_id, i, l, 0 AS chunk_id, t AS text, CASE kind WHEN 'p' THEN 'paragraph' ELSE 'sentence' END AS boundary, length(t) + 1 AS held FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, l, chunk_id + (NOT joins)::INT, CASE WHEN joins AND kind = 's' THEN text || ' ' || t WHEN joins THEN text || chr(10) || chr(10) || t ELSE t END,
+    CASE WHEN kind = 's' THEN 'sentence' WHEN joins THEN 'merged_paragraph' ELSE 'paragraph' END, CASE WHEN joins AND kind = 's' THEN held ELSE 0 END + length(t) + 1
+  FROM (SELECT f.doc_id, o.i, o.l, f.chunk_id, f.text, f.held, o.t, o.kind,
+    CASE o.kind WHEN 's' THEN f.l = o.l AND f.held + length(o.t) <= {most} ELSE length(o.t) < {least} AND length(f.text) + 2 + length(o.t) <= {most} END AS joins
+    FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.i = f.i + 1)),
+passages AS (SELECT doc_id, chunk_id::INTEGER AS chunk_id, arg_max(text, i) AS text, arg_max(boundary, i) AS boundary FROM fold GROUP BY doc_id, chunk_id)"""
+
+
+@query(f"WITH {_passages('SELECT doc_id, text FROM documents', 1500, 100)} SELECT doc_id, chunk_id, text, boundary FROM passages")
 def semantic_chunks(spark, sf):
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return chunking.semantic(_t(spark, sf, "documents").select("doc_id", doubled.alias("text")))
 
 
-@query()
+@query(f"""WITH {_passages("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations", 1500, 100)},
+named AS (SELECT conv_id, turn, (turn + 1) || ' Turn of ' || role AS title FROM conversations)
+SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_id) - 1)::INTEGER AS chunk_id, '[Section: ' || title || ']' || chr(10) || text AS text, boundary, title AS section, 1 AS section_level
+FROM passages JOIN named ON doc_id = conv_id * 1000 + turn""")
 def hierarchical_chunks(spark, sf):
-    return chunking.hierarchical(sections.sections(_numbered(spark, sf)))
+    doubled = F.replace(F.col("content"), F.lit("\n"), F.lit("\n\n"))
+    found = sections.sections(_numbered(spark, sf)).withColumn("content", doubled)
+    return chunking.hierarchical(found).drop("page_start", "page_end")
 
 
 @query()
@@ -324,10 +353,11 @@ def rerank_moved(spark, sf):
     return fusion.moved(_hybrid(spark, sf))
 
 
-@query()
+@query(f"""WITH {_BM25.replace("FROM documents)", "FROM documents SEMI JOIN embeddings ON vec_id = doc_id)")}, {_BY_ITEM.replace("FROM embeddings)", "FROM embeddings SEMI JOIN documents ON doc_id = vec_id)")}, {_FUSED}
+SELECT query_id, chunk_key, round(score, 6) AS score, rank, found_by FROM fused WHERE rank <= 5""")
 def hybrid_search(spark, sf):
     chunks = _chunks(spark, sf).join(_vectors(spark, sf).drop("label"), "chunk_key")
-    asked = _questions(spark, sf).join(_vectors(spark, sf), F.col("chunk_key") == F.col("query_id")).select("query_id", "text", "vector")
+    asked = _questions(spark, sf).join(chunks.select("chunk_key", "vector"), F.col("chunk_key") == F.col("query_id")).select("query_id", "text", "vector")
     return retriever.HybridRetriever(chunks, sparse.index(chunks)).search(asked).select("query_id", "chunk_key", F.round("score", 6).alias("score"), "rank", F.array_join("found_by", ",").alias("found_by"))
 
 
