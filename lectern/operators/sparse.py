@@ -41,15 +41,19 @@ def of_parts(postings: DataFrame, lengths: DataFrame) -> SparseIndex:
 def scores(ix: SparseIndex, queries: DataFrame) -> DataFrame:
     """query_id, chunk_key, score for each chunk that shares a term; a term counts as often as the query has it.
 
-    Terms of the queries choose their postings by an equi-join, before lengths and frequencies are looked up. The one-row
-    corpus table is broadcast.
+    Terms of the queries choose their postings by a semi-join, which also goes below the counting of an index that isn't
+    saved; frequencies are needed for these terms alone. The one-row corpus table is broadcast.
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = asked.join(ix.terms, "term").join(F.broadcast(ix.corpus)).select("query_id", "term", (F.col("times") * idf).alias("w"), (F.col("total_len") / F.col("n_docs")).alias("avg_dl"))
-    hits = ix.postings.join(weighted, "term").join(ix.lengths, "chunk_key")
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return hits.groupBy("query_id", "chunk_key").agg(F.round(F.sum(part), 6).alias("score"))
+    postings = ix.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    corpus = F.broadcast(ix.corpus)
+    weights = asked.join(terms, "term").join(corpus).select("query_id", "term", (F.col("times") * idf).alias("w"))
+    # what depends on the chunk alone is worked out before the queries multiply the rows
+    dampened = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_docs") / F.col("total_len")))
+    parts = postings.join(ix.lengths, "chunk_key").join(corpus).select("term", "chunk_key", dampened.alias("part"))
+    return parts.join(weights, "term").groupBy("query_id", "chunk_key").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
 
 
 def search(ix: SparseIndex, queries: DataFrame, k: int = 5) -> DataFrame:
