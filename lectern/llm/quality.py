@@ -3,9 +3,9 @@
 The language model is a modified Kneser-Ney model over bytes of UTF-8, order 5, with one set of counts for each language.
 Tasks count the n-grams of their documents, Spark adds the counts up and derives all lower orders, discounts and
 probabilities by aggregations and joins; no context has more than 256 continuations, so no key is hot. For scoring,
-probabilities stand in sorted arrays of hashes. A hash has `bits` bits, so the arrays hold 2^bits entries at most, whatever
-the corpus: that bound is what makes it right to broadcast them. N-grams that share a hash share the mean of their log
-probabilities, weighted by count.
+texts are packed into parts, each part's distinct n-grams meet the model in hash buckets by exact language and code, and
+their values come back to the part. The model is as large as the corpus makes it and is never gathered; a task holds a
+bucket of it, or what one part uses.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from . import common, textblock
+from . import chunks, common, textblock
 
 ORDER = 5
-BITS = 22
+BUCKET_ROWS = 1 << 17
+MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double"
 WINDOW = 8
 NO_LANGUAGE = "und"
 _SYMBOLS = np.zeros(256, bool)
@@ -130,44 +135,127 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return p
 
 
-def _slots(lang: str, codes: np.ndarray, bits: int) -> np.ndarray:
+def _mixed(lang: str, codes: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(lang.encode())) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (textblock.mix(x) >> np.uint64(64 - bits)).astype(np.int32)
+        return textblock.mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(lang.encode())) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class HashArrays:
-    """Log probabilities by hash: sorted hashes, and a value for each. Unknown n-grams have the smallest one."""
+def _bucket(lang: str, codes: np.ndarray, n: int) -> np.ndarray:
+    return (_mixed(lang, codes) % np.uint64(n)).astype(np.int32)
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray, bits: int):
-        order = np.argsort(hashes)
-        self.hashes, self.values, self.bits = hashes[order].astype(np.int32), values[order].astype(np.float32), bits
-        self._place: np.ndarray | None = None
 
-    def __getstate__(self) -> dict:
-        return {"hashes": self.hashes, "values": self.values, "bits": self.bits, "_place": None}
+def _shut(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
-    def look_up(self, lang: str, codes: np.ndarray) -> np.ndarray:
-        if self._place is None:  # where each hash stands in the sorted array, if it does
-            self._known = np.append(self.values, self.values.min(initial=0.0))
-            self._place = np.full(1 << self.bits, len(self.values), np.int32)
-            self._place[self.hashes] = np.arange(len(self.hashes))
-        return self._known[self._place[_slots(lang, codes, self.bits)]]
 
+def _sorted_codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64))
+
+
+class Scores:
+    """Log probabilities of the n-grams of one language that a part of the corpus has, by exact code.
+
+    A table of four places for each n-gram or more finds most at once; those that another one displaced are searched for.
+    """
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        self.shift = np.uint64(64 - max(8, (4 * len(codes)).bit_length()))
+        self.place = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.place[_mixed("", self.codes) >> self.shift] = np.arange(len(codes))
+
+    def look_up(self, codes: np.ndarray) -> np.ndarray:
+        at = self.place[_mixed("", codes) >> self.shift]
+        other = np.flatnonzero(self.codes[at] != codes)
+        at[other] = np.minimum(np.searchsorted(self.codes, codes[other]), len(self.codes) - 1)
+        if (self.codes[at[other]] != codes[other]).any():
+            raise ValueError("an n-gram of the text is not in the model")  # the input changed while it was read
+        return self.values[at]
+
+
+def parts(docs: DataFrame, n: int) -> DataFrame:
+    """part, blob: the rows of docs in packed parts of about HOLD_BYTES, as they come, dealt into n partitions. No id or
+    language decides where a row goes, so none is hot."""
+
+    def pack(batches):
+        held: list[pa.RecordBatch] = []
+        size, part = 0, TaskContext.get().partitionId() << 32
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([chunks._blob(pa.Table.from_batches(held))], pa.binary())], names=["part", "blob"])
 
-def hash_arrays(model: DataFrame, bits: int = BITS) -> HashArrays:
-    def slots(batches):
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # parts of a batch, should its texts be long
+                step = max(1, min(batch.num_rows - at, int(batch.num_rows * chunks.HOLD_BYTES / max(1, batch.nbytes))))
+                held.append(batch.slice(at, step))
+                at += step
+                size += step * batch.nbytes // max(1, batch.num_rows)
+                if size >= chunks.HOLD_BYTES:
+                    yield flush()
+                    held.clear()
+                    size, part = 0, part + 1
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(pack, "part long, blob binary").repartition(n, "part")
+
+
+def looked_up(texts: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """part, lang, codes, logps: for each part of texts its distinct n-grams with their log probabilities, in n buckets.
+
+    A part sends each bucket its codes as one array for each language; the bucket, which holds the model's n-grams of the
+    same hashes, sends them back with their values.
+    """
+
+    def ask(batches):
+        common.lean()
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows: list[tuple] = []
+                for t in chunks.opened([blob]):
+                    langs = np.array(_languages(t.column("lang")), object)
+                    for lang in sorted(set(langs)):
+                        found = [np.unique(ngrams(w.data, w.offsets)[0]) for _, w in textblock.blocks(t.column("text").filter(pa.array(langs == lang)))]
+                        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                        of = _bucket(lang, codes, n)
+                        order = np.argsort(of, kind="stable")
+                        codes, of = codes[order], of[order]
+                        cuts = np.flatnonzero(np.diff(of)) + 1
+                        rows += [(int(of[a]), part, lang, _shut(np.diff(codes[a:b], prepend=0))) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]) if b > a]
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.string(), pa.binary()))], names=["bucket", "part", "lang", "codes"])
+
+    def deal(batches):
         for batch in batches:
             langs, codes = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
             out = np.zeros(len(codes), np.int32)
             for lang in set(langs):
-                out[langs == lang] = _slots(lang, codes[langs == lang], bits)
-            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(2), batch.column(3)], names=["slot", "c", "logp"])
-
-    rows = model.select("lang", "code", "c", F.log("p").alias("logp")).mapInArrow(slots, "slot int, c long, logp double")
-    mean = F.sum(F.col("c") * F.col("logp")) / F.sum("c")
-    t = rows.groupBy("slot").agg(mean.cast("float").alias("logp")).toArrow()  # 2^bits rows at most
-    return HashArrays(t.column("slot").to_numpy(), t.column("logp").to_numpy(), bits)
+                out[langs == lang] = _bucket(lang, codes[langs == lang], n)
+            yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["bucket", *batch.schema.names])
+
+    def answer(asked, known):
+        langs = np.array(known.column("lang").to_pylist(), object)
+        codes, logps = known.column("code").to_numpy(), known.column("logp").to_numpy()
+        of = {}
+        for lang in set(langs):
+            order = np.flatnonzero(langs == lang)
+            order = order[np.argsort(codes[order])]
+            of[lang] = codes[order], logps[order].astype(np.float32)
+        out = []
+        for lang, blob in zip(asked.column("lang").to_pylist(), asked.column("codes")):
+            own, values = of[lang]
+            c = _sorted_codes(blob.as_py())
+            at = np.minimum(np.searchsorted(own, c), len(own) - 1)
+            if (own[at] != c).any():
+                raise ValueError("an n-gram of the text is not in the model")
+            out.append(_shut(values[at]))
+        return pa.table([asked.column("part").combine_chunks(), asked.column("lang").combine_chunks(), asked.column("codes").combine_chunks(), pa.array(out, pa.binary())], names=["part", "lang", "codes", "logps"])
+
+    asked = texts.mapInArrow(ask, "bucket int, part long, lang string, codes binary")
+    known = model.select("lang", "code", F.log("p").alias("logp")).mapInArrow(deal, "bucket int, lang string, code long, logp double")
+    return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "part long, lang string, codes binary, logps binary")
 
 
 def _repeated(words: list[bytes], window: int) -> int:
@@ -182,16 +270,29 @@ def _repeated(words: list[bytes], window: int) -> int:
     return int(np.count_nonzero(np.cumsum(step[:-1])))
 
 
-def measured(docs: DataFrame, model: HashArrays) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, nll (-log p of the text, for each word)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def measured(docs: DataFrame, model: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, nll (-log p of the text, for each word),
+    and the columns of docs that extra names."""
+    n = common.partitions(docs.sparkSession)
+    texts = parts(docs.select("doc_id", "lang", F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra))), n)
+    # so many buckets that one holds a bounded share of the model, and parts send them arrays worth sending
+    scores = looked_up(texts, model, max(-(-model.count() // BUCKET_ROWS), -(-n // 8)))
+    types = StructType([*StructType.fromDDL(MEASURES).fields, *(StructField(c, docs.schema[c].dataType) for c in extra)])
+    schema = to_arrow_schema(types)
 
-    def measure(batches):
+    def measure(part, scores):
         common.lean()
-        lm = shared.value
-        for batch in batches:
-            langs = _languages(batch.column(1))
-            for at, w in textblock.blocks(batch.column(2)):
+        held: dict[str, tuple[list, list]] = {}
+        z = zstandard.ZstdDecompressor()
+        for lang, codes, logps in zip(*(scores.column(c).to_pylist() for c in ("lang", "codes", "logps"))):
+            own = held.setdefault(lang, ([], []))
+            own[0].append(_sorted_codes(codes))
+            own[1].append(np.frombuffer(z.decompress(logps), np.float32))
+        lm = {lang: Scores(*map(np.concatenate, own)) for lang, own in held.items()}
+        out = []
+        for t in chunks.opened(part.column("blob")):
+            langs = _languages(t.column("lang"))
+            for at, w in textblock.blocks(t.column("text")):
                 n = len(w.offsets) - 1
                 total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
                 chars = total(~(_CONTINUED[w.data] | _BLANK[w.data]))
@@ -214,13 +315,15 @@ def measured(docs: DataFrame, model: HashArrays) -> DataFrame:
                 of_text = np.array(langs[at : at + n], object)
                 for lang in set(of_text):
                     mine = np.repeat(of_text == lang, sizes)
-                    logp[mine] = lm.look_up(lang, codes[mine])
+                    if mine.any():
+                        logp[mine] = lm[lang].look_up(codes[mine])
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logp)])[w.offsets])
                 nll = np.where(w.counts > 0, -sums / np.maximum(w.counts, 1), 0.0)
-                cols = [batch.column(0).slice(at, n), pa.array(langs[at : at + n]), pa.array(w.counts), pa.array(chars), pa.array(symbols), pa.array(lines), pa.array(repeats), pa.array(np.round(nll, 6))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nll"])
+                cols = [t.column("doc_id").slice(at, n), pa.array(langs[at : at + n], pa.string()), pa.array(w.counts), pa.array(chars), pa.array(symbols), pa.array(lines), pa.array(repeats), pa.array(np.round(nll, 6))]
+                out.append(pa.table(cols + [t.column(f"extra_{i}").slice(at, n) for i in range(len(extra))], names=schema.names).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(measure, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double")
+    return texts.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(measure, types)
 
 
 BASE_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
@@ -243,7 +346,7 @@ def bands(rows: DataFrame) -> DataFrame:
     return middle.join(spread, "lang").select("lang", (F.col("median") / STEP).alias("middle"), (F.col("deviation") * 1.4826 / STEP).alias("deviation"))
 
 
-def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, bits: int = BITS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, bits: int | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity.
 
     The model is counted on all given texts, each language by itself; a null language is one of its own. A text that passes
@@ -251,13 +354,14 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     `least`) under the median to `upper` ones over it, on the scale of logarithms. A mean over few words scatters more, so
     the band is wider by sqrt(1 + 64 / words). Null and empty texts have no words
     and fail the base rules; null ids stay null; repeated rows are judged each for itself; an empty table gives no rows;
-    other columns are not looked at.
+    other columns are not looked at. `bits` says nothing any more: n-grams are kept by their codes, not by hashes.
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), common.whole(text_column).alias("text"))
     counts = common.written(count_ngrams(base))
-    model = hash_arrays(kneser_ney(counts), bits)
-    rows = common.written(measured(base, model))
+    model = common.written(kneser_ney(counts))
     common.forget(counts)
+    rows = common.written(measured(base, model))
+    common.forget(model)
     reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words"), F.lit(1)))
     away = F.col("nll") - F.col("middle")
     inside = F.coalesce(away.between(-lower * reach, upper * reach), F.lit(True))

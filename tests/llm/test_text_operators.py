@@ -291,6 +291,19 @@ def test_perplexity(spark, docs):
     assert np.mean(np.array(off) < 1e-5) > 0.8 and max(off) < 0.02
 
 
+def test_perplexity_is_exact(spark, docs):
+    """Under the settings of the query: no n-gram takes the value of another one."""
+    every = [(r["doc_id"], r["lang"] or "und", r["text"] or "") for r in docs.collect() if r["doc_id"] is not None]
+    p = {lang: brute_model([t for _, x, t in every + [(None, "und", "text of no id " * 8)] if x == lang]) for lang in {x for _, x, _ in every}}
+    got = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs).collect()}
+    n = quality.ORDER
+    for doc, lang, text in every:
+        if words := len(WORD.findall(text)):
+            b = bytes(n - 1) + text.encode()
+            nll = -sum(np.log(p[lang][b[i - n + 1 : i + 1]]) for i in range(n - 1, len(b))) / words
+            assert abs(np.log(got[doc]) - nll) < 1e-6 + 1e-6 * nll, doc  # nll has 6 digits
+
+
 def test_perplexity_bands(spark):
     """Prose stays, symbols after every word go."""
     import random
