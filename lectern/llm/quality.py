@@ -27,11 +27,13 @@ from . import chunks, common, textblock
 
 ORDER = 5
 BUCKET_ROWS = 1 << 17
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double"
+MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_marks long, nll double"
 WINDOW = 8
 NO_LANGUAGE = "und"
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
+_MARKS = np.zeros(256, bool)  # ASCII signs: a word of these alone is not one of the language
+_MARKS[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = True
 _CONTINUED = (np.arange(256) & 0xC0) == 0x80
 _BLANK = textblock._SPACE
 
@@ -271,8 +273,8 @@ def _repeated(words: list[bytes], window: int) -> int:
 
 
 def measured(docs: DataFrame, model: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, nll (-log p of the text, for each word),
-    and the columns of docs that extra names."""
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks (words of signs
+    alone), nll (-log p of the text, for each other word), and the columns of docs that extra names."""
     n = common.partitions(docs.sparkSession)
     texts = parts(docs.select("doc_id", "lang", F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra))), n)
     # so many buckets that one holds a bounded share of the model, and parts send them arrays worth sending
@@ -318,8 +320,11 @@ def measured(docs: DataFrame, model: DataFrame, extra: tuple[str, ...] = ()) ->
                     if mine.any():
                         logp[mine] = lm[lang].look_up(codes[mine])
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logp)])[w.offsets])
-                nll = np.where(w.counts > 0, -sums / np.maximum(w.counts, 1), 0.0)
-                cols = [t.column("doc_id").slice(at, n), pa.array(langs[at : at + n], pa.string()), pa.array(w.counts), pa.array(chars), pa.array(symbols), pa.array(lines), pa.array(repeats), pa.array(np.round(nll, 6))]
+                signs = np.concatenate([[0], np.cumsum(_MARKS[w.data])])
+                alone = np.concatenate([[0], np.cumsum(signs[w.ends] - signs[w.starts] == w.ends - w.starts)])
+                marks = np.diff(alone[w.first])
+                nll = np.where(w.counts > 0, -sums / np.maximum(w.counts - marks, 1), 0.0)
+                cols = [t.column("doc_id").slice(at, n), pa.array(langs[at : at + n], pa.string()), pa.array(w.counts), pa.array(chars), pa.array(symbols), pa.array(lines), pa.array(repeats), pa.array(marks), pa.array(np.round(nll, 6))]
                 out.append(pa.table(cols + [t.column(f"extra_{i}").slice(at, n) for i in range(len(extra))], names=schema.names).cast(schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -350,7 +355,8 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     """One row for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity.
 
     The model is counted on all given texts, each language by itself; a null language is one of its own. A text that passes
-    the base rules is kept if its perplexity (of a word) lies in its language's band: from `lower` deviations (at least
+    the base rules is kept if its perplexity (of a word; words of ASCII signs alone, such as bars between cells, add to the
+    text's -log p but are not counted, so that they cannot make junk look likely) lies in its language's band: from `lower` deviations (at least
     `least`) under the median to `upper` ones over it, on the scale of logarithms. A mean over few words scatters more, so
     the band is wider by sqrt(1 + 64 / words). Null and empty texts have no words
     and fail the base rules; null ids stay null; repeated rows are judged each for itself; an empty table gives no rows;
@@ -362,7 +368,7 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     common.forget(counts)
     rows = common.written(measured(base, model))
     common.forget(model)
-    reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words"), F.lit(1)))
+    reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words") - F.col("n_marks"), F.lit(1)))
     away = F.col("nll") - F.col("middle")
     inside = F.coalesce(away.between(-lower * reach, upper * reach), F.lit(True))
     out = _by_language(rows, bands(rows), "doc_id").withColumn("base_failed", F.expr(BASE_FAILED))

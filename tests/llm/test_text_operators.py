@@ -315,3 +315,17 @@ def test_perplexity_bands(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*prose, *junk])], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in quality.judged(df).collect() if r["kept"]}
     assert kept == set(range(150))
+
+
+def test_bar_tables_are_rejected(spark):
+    """Words with a bar after each go, as do ruled tables; prose with a dash in it stays."""
+    import random
+
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    prose = [" ".join(rng.choice(words) + (" -" if i == 20 else "") for i in range(rng.randint(40, 90))) for _ in range(150)]
+    table = [" ".join(rng.choice(words) + " |" for _ in range(120)) for _ in range(4)]
+    ruled = ["\n".join(f"| {rng.choice(words)} | {rng.choice(words)} |\n|---|---|" for _ in range(20)) for _ in range(2)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*prose, *table, *ruled])], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.judged(df).collect() if r["kept"]}
+    assert kept == set(range(150))
