@@ -1,9 +1,8 @@
 """The training-data pipeline: quality rules, near-dedup, substring dedup, surrogates for personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents; n_chars follows the text. doc_id is the key of a
-document: rows that share one go or stay together. Rows without an id are judged by the quality rules as one document,
-stay in near-dedup, and pass the other stages like all others.
+stage's docs. All stages but the last return the columns of documents; n_chars follows the text. The quality rules and
+near-dedup decide on each row by itself, whether it has an id, shares one or has none.
 """
 
 from __future__ import annotations
@@ -18,21 +17,25 @@ from lectern.llm import common, minhash, packing, pii, quality, substring
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number for each row, in order of doc_id and rows without one last; written, so that it stays the same."""
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("at"))  # parts a common id when rows are dealt by range
+    return common.written(rows.sort(F.asc_nulls_last("doc_id"), "at").drop("at").withColumn("row", F.monotonically_increasing_id()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their language's perplexity band go."""
+    """Rows whose text fails the base rules or lies outside its language's perplexity band go."""
     common.ready(spark)
-    return _without(docs.select(*COLUMNS), quality.judged(docs).where("NOT kept"))
+    judged = quality.judged(docs.withColumn("given_lang", F.col("lang")), extra=("text", "given_lang", "source", "n_chars"))
+    return judged.where("kept").select("doc_id", "text", F.col("given_lang").alias("lang"), "source", "n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
+    """Of each class of near-duplicate rows one with the smallest id stays, or one without an id if none has one."""
     common.ready(spark)
-    return _without(docs.select(*COLUMNS), minhash.near_duplicates(docs).where("NOT kept"))
+    rows = _numbered(docs)
+    gone = minhash.near_duplicates(rows, id_column="row").where("NOT kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

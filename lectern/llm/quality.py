@@ -276,7 +276,7 @@ def measured(docs: DataFrame, model: DataFrame, extra: tuple[str, ...] = ()) ->
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks (words of signs
     alone), nll (-log p of the text, for each other word), and the columns of docs that extra names."""
     n = common.partitions(docs.sparkSession)
-    texts = parts(docs.select("doc_id", "lang", F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra))), n)
+    texts = parts(docs.select("doc_id", "lang", "text", *(F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra) if c != "text")), n)
     # so many buckets that one holds a bounded share of the model, and parts send them arrays worth sending
     scores = looked_up(texts, model, max(-(-model.count() // BUCKET_ROWS), -(-n // 8)))
     types = StructType([*StructType.fromDDL(MEASURES).fields, *(StructField(c, docs.schema[c].dataType) for c in extra)])
@@ -325,7 +325,7 @@ def measured(docs: DataFrame, model: DataFrame, extra: tuple[str, ...] = ()) ->
                 marks = np.diff(alone[w.first])
                 nll = np.where(w.counts > 0, -sums / np.maximum(w.counts - marks, 1), 0.0)
                 cols = [t.column("doc_id").slice(at, n), pa.array(langs[at : at + n], pa.string()), pa.array(w.counts), pa.array(chars), pa.array(symbols), pa.array(lines), pa.array(repeats), pa.array(marks), pa.array(np.round(nll, 6))]
-                out.append(pa.table(cols + [t.column(f"extra_{i}").slice(at, n) for i in range(len(extra))], names=schema.names).cast(schema))
+                out.append(pa.table(cols + [t.column("text" if c == "text" else f"extra_{i}").slice(at, n) for i, c in enumerate(extra)], names=schema.names).cast(schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return texts.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(measure, types)
@@ -351,8 +351,9 @@ def bands(rows: DataFrame) -> DataFrame:
     return middle.join(spread, "lang").select("lang", (F.col("median") / STEP).alias("middle"), (F.col("deviation") * 1.4826 / STEP).alias("deviation"))
 
 
-def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, bits: int | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """One row for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity.
+def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, bits: int | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity,
+    and the columns of docs that extra names (other names than these; "text" is the text, null as empty), of the same row.
 
     The model is counted on all given texts, each language by itself; a null language is one of its own. A text that passes
     the base rules is kept if its perplexity (of a word; words of ASCII signs alone, such as bars between cells, add to the
@@ -362,14 +363,14 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     and fail the base rules; null ids stay null; repeated rows are judged each for itself; an empty table gives no rows;
     other columns are not looked at. `bits` says nothing any more: n-grams are kept by their codes, not by hashes.
     """
-    base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), common.whole(text_column).alias("text"))
+    base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), common.whole(text_column).alias("text"), *(F.col(f"`{c}`") for c in extra if c != "text"))
     counts = common.written(count_ngrams(base))
     model = common.written(kneser_ney(counts))
     common.forget(counts)
-    rows = common.written(measured(base, model))
+    rows = common.written(measured(base, model, extra))
     common.forget(model)
     reach = F.greatest(F.lit(least), F.col("deviation")) * F.sqrt(1 + F.lit(64.0) / F.greatest(F.col("n_words") - F.col("n_marks"), F.lit(1)))
     away = F.col("nll") - F.col("middle")
     inside = F.coalesce(away.between(-lower * reach, upper * reach), F.lit(True))
     out = _by_language(rows, bands(rows), "doc_id").withColumn("base_failed", F.expr(BASE_FAILED))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", F.exp("nll").alias("perplexity"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", F.exp("nll").alias("perplexity"), *(F.col(f"`{c}`") for c in extra))

@@ -105,3 +105,21 @@ def test_empty(spark, made, tmp_path):
         stage(spark, docs, made).write.parquet(f"file://{tmp_path}/{i}")
         docs = spark.read.parquet(f"file://{tmp_path}/{i}")
         assert docs.count() == 0
+
+
+def test_rows_decide_for_themselves(spark, made, tmp_path):
+    """Rows without an id, or of one id: a bad one takes no other with it, and of copies one stays."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 120))) for _ in range(60)]
+    ids = [*range(40), *[None] * 10, *[99] * 10]
+    rows = [(i, t, None if n % 7 == 0 else "en", f"s{n}", len(t)) for n, (i, t) in enumerate(zip(ids, texts))]
+    short = [(None, "", "en", "x", 0), (99, "too short", "en", "x", 9)]
+    copies = [(None, texts[45], "en", "copy", len(texts[45])), (99, texts[55], "en", "copy", len(texts[55])), (None, texts[5], "en", "copy", len(texts[5]))]
+    docs = spark.createDataFrame([*copies, *rows, *short], SCHEMA).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["quality rules"](spark, docs, made).write.parquet(f"file://{tmp_path}/0")
+    after = spark.read.parquet(f"file://{tmp_path}/0")
+    assert Counter(map(tuple, after.collect())) == Counter([*rows, *copies])
+    last = [tuple(r) for r in stages["near-dedup"](spark, after, made).collect()]
+    assert Counter((r[0], r[1]) for r in last) == Counter((r[0], r[1]) for r in rows)
