@@ -1,7 +1,7 @@
-"""Documents packed into compressed chunks by id.
+"""Documents packed into compressed chunks.
 
 Operators that meet the texts more than once deal them to chunks once: a chunk is small enough for one task, the same
-document always goes to the same chunk, and what other tasks found out about a document reaches it by its chunk.
+row always goes to the same chunk, and what other tasks found out about a document reaches it by its chunk.
 """
 
 from __future__ import annotations
@@ -45,9 +45,8 @@ def labels(n: int) -> tuple[int, ...]:
     return tuple(out[i] for i in range(n))
 
 
-def chunk_of(column: str | Column, n: int) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.element_at(F.lit(list(labels(n))), (F.pmod(F.xxhash64(F.coalesce(c, F.lit(-1).cast("long"))), F.lit(n)) + 1).cast("int"))
+def chunk_of(hashed: Column, n: int) -> Column:
+    return F.element_at(F.lit(list(labels(n))), (F.pmod(hashed, F.lit(n)) + 1).cast("int"))
 
 
 def _blob(docs: pa.Table) -> bytes:
@@ -65,7 +64,8 @@ def opened(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
 
 
 def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk, blob), dealt by chunk into n partitions. Null texts are empty ones, null ids one group of their own; extra: other columns to keep."""
+    """(chunk, blob), dealt by chunk into n partitions. Null texts are empty ones; extra: other columns to keep. A row's chunk
+    follows from its id and text, so rows without an id, or of one id, are spread over all chunks."""
 
     def pack(batches):
         held: list[pa.RecordBatch] = []
@@ -94,5 +94,6 @@ def packed(docs: DataFrame, n: int, id_column: str = "doc_id", text_column: str
         if held:
             yield from flush()
 
-    rows = docs.select(chunk_of(F.col(id_column).cast("long"), n).alias("chunk"), F.col(id_column).cast("long").alias("doc_id"), common.whole(text_column).alias("text"), *(F.col(f"`{c}`") for c in extra))
+    dealt = chunk_of(F.xxhash64(F.col(id_column).cast("long"), common.whole(text_column)), n)
+    rows = docs.select(dealt.alias("chunk"), F.col(id_column).cast("long").alias("doc_id"), common.whole(text_column).alias("text"), *(F.col(f"`{c}`") for c in extra))
     return rows.mapInArrow(pack, TYPES).repartition(n, "chunk")

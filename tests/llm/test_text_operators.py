@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -29,8 +30,6 @@ def rows(docs):
 
 
 def test_words_and_windows():
-    import pyarrow as pa
-
     texts = ["a b\tc", "", " é  b a\n", "a", None, "x" * 100]
     blocks = list(textblock.blocks(pa.array(texts, pa.string()).fill_null("")))
     w = blocks[0][1]
@@ -173,7 +172,28 @@ def test_substring_branches(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.without_repeats(df, 4).collect())
     assert got == brute_substring(rows, 4)
-    assert substring._compare([b"a", b"b", b"c", b"d"], [b"b", b"c", b"d", b"x", b"a", b"b", b"c"], {b"a": [4], b"b": [0, 5]}, 3) == [(0, 2, 4)]
+    spans = [(r["doc_id"], r["start"], r["n_words"], r["source"], r["source_start"]) for r in substring.repeated_spans(df, 4).collect()]
+    words = {d: t.split() for d, t in rows}
+    assert all(words[d][s : s + m] == words[o][p : p + m] for d, s, m, o, p in spans)
+    covered = {d: {i for e, s, m, _, _ in spans if e == d for i in range(s, s + m)} for d in words}
+    assert {d: len(c) for d, c in covered.items()} == {d: gone for d, _, gone, _ in got}
+
+
+@pytest.mark.parametrize("bits", [1, 5, 9])
+def test_equal_hashes_of_different_windows(spark, docs, rows, bits):
+    """Nearly all hashes collide: the words decide."""
+    got = substring.without_repeats(docs, 13, bits=bits).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_substring(rows, 13)
+
+
+def test_paths_of_equal_hashes_and_different_words():
+    """The later variant shares some windows with the first, and some with none."""
+    s = substring._Sources(2)
+    one, other = pa.scalar(b"a b c d"), pa.scalar(b"a b x d")
+    assert s.runs(b"1", one, 3, 5, 10) == [(0, 3, 5, 10)]
+    assert s.runs(b"2", other, 3, 6, 20) == [(0, 1, 5, 10), (1, 2, 6, 21)]
+    assert s.runs(b"3", pa.scalar(b"b x d a"), 3, 7, 0) == [(0, 2, 6, 21), (2, 1, 7, 2)]
+    assert s.runs(b"1", one, 3, 8, 1) == [(0, 3, 5, 10)]
 
 
 # near-dedup ------------------------------------------------------------------------------------------------------
