@@ -4,7 +4,9 @@ Entities are found by one pattern, over whole texts, once. Each distinct entity
 a keyed hash of its type and canonical form, so the same entity is the same surrogate everywhere, however it is written:
 digits are filled into the layout of each mention, names keep their title, and a family name alone gets what it got beside
 its given name. Surrogates are checked against each other and against all entities of the corpus; where two meet, the
-smallest entity keeps the surrogate and the others are hashed anew, until all differ.
+smallest entity keeps the surrogate and the others are hashed anew, until all differ. A format may have fewer surrogates than
+the corpus has entities of it, so from the third try on surrogates are longer, by a digit or letter with each try: the tries
+end, and only entities of crowded formats lose their exact length.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from . import common
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 PHONE = rf"{_EDGE}\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{1,4}}{_END}|{_EDGE}\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}{_END}"
 SSN = rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}"
@@ -25,7 +27,9 @@ CARD = rf"{_EDGE}(?:[0-9]{{4}}[ -]){{3}}[0-9]{{4}}{_END}|{_EDGE}[0-9]{{13,19}}{_
 #: Titles that tell a person, by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "г-н", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "госпожа")}
 _TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
-PERSON = rf"{_EDGE}(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: A name, without the ending of a possessive.
+_NAME = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))\p{L})++"
+PERSON = rf"{_EDGE}(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
 ENTITY = "|".join((EMAIL, IP, PHONE, SSN, IBAN, CARD, PERSON))
 #: No entity is without one of these.
 HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}"
@@ -56,13 +60,21 @@ def _letter(alphabet: str, value: Column) -> Column:
     return F.substring(F.lit(alphabet), (value % len(alphabet) + 1).cast("int"), F.lit(1))
 
 
+def _drawn(letters: Column, value: Column) -> Column:
+    return F.substring(letters, (value % F.length(letters) + 1).cast("int"), F.lit(1))
+
+
 def _same_shape(text: Column) -> Column:
-    """Digits for digits, letters for letters of the same script; anything else stays."""
+    """Digits for digits, letters for letters of the same script; anything else stays. Scripts other than Latin, Cyrillic and
+    Greek take their letters from the text itself."""
+    others = F.regexp_replace(text, r"[\P{L}\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]", "")
 
     def put(ch: Column, i: Column) -> Column:
         v = _byte(i)
-        digit = F.when(ch.rlike("[0-9]"), (v % 10).cast("string"))
-        return digit.when(ch.rlike(r"\p{IsCyrillic}"), _letter(_CYRILLIC, v)).when(ch.rlike(r"\p{IsGreek}"), _letter(_GREEK, v)).when(ch.rlike(r"\p{L}"), _letter(_LATIN, v)).otherwise(ch)
+        out = F.when(ch.rlike("[0-9]"), (v % 10).cast("string"))
+        for script, alphabet in (("Latin", _LATIN), ("Cyrillic", _CYRILLIC), ("Greek", _GREEK)):
+            out = out.when(ch.rlike(rf"^\p{{Is{script}}}$") & ch.rlike(r"^\p{L}$"), _letter(alphabet, v))
+        return out.when(ch.rlike(r"^\p{L}$"), _drawn(others, v)).otherwise(ch)
 
     return F.array_join(F.transform(F.split(text, ""), put), "")
 
@@ -79,31 +91,61 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _like_card(canonical: Column) -> Column:
+def _like_card(canonical: Column, more: Column) -> Column:
     """A number that passes Luhn's check if and only if the original does."""
     n = F.length(canonical)
-    body = F.substring(_same_shape(canonical), F.lit(1), n - 1)
+    body = F.concat(F.substring(_same_shape(canonical), F.lit(1), n - 1), more)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     return F.concat(body, F.when(_luhn(canonical) == 0, check).otherwise((check + 1 + _byte(63) % 9) % 10).cast("string"))
 
 
-def _name(kind: str, script: str) -> Column:
+def _remainder(iban: Column) -> Column:
+    """Of an IBAN's number modulo 97: 1 for a valid one."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def add(r: Column, ch: Column) -> Column:
+        return F.when(ch.rlike("[0-9]"), r * 10 + ch.cast("int")).otherwise(r * 100 + F.ascii(ch) - 55) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), add)
+
+
+def _like_iban(canonical: Column, more: Column) -> Column:
+    """A number of the same country that is valid if and only if the original is."""
+    land = F.substring(canonical, 1, 2)
+    body = F.concat(F.upper(F.substring(_same_shape(F.lower(canonical)), F.lit(5), F.length(canonical))), more)
+    right = 98 - _remainder(F.concat(land, F.lit("00"), body))
+    wrong = (right - 1 + _byte(63) % 96) % 97 + 2
+    check = F.when(_remainder(canonical) == 1, right).otherwise(wrong)
+    return F.concat(land, F.lpad(check.cast("string"), 2, "0"), body)
+
+
+def _name(kind: str, script: str, attempt: int) -> Column:
+    if script == "other":  # letters of the name itself, which are of its script whichever that is
+        if attempt > 1:  # it may have too few
+            return _name(kind, "latin", attempt)
+        own = F.regexp_replace("canonical", r"\P{L}", "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.length(own) + 1 + attempt), lambda i: _drawn(own, _byte(i))), "")
+    if attempt == 0 and kind != "family":
+        return _one_of(_GIVEN[kind, script], _byte(0))
     syllables = _SYLLABLES[script]
-    made = F.concat(*(_one_of(syllables, _byte(i)) for i in range(3)), F.when(F.col("attempt") > 2, F.concat(*(_one_of(syllables, _byte(i)) for i in range(3, 8)))).otherwise(F.lit("")), F.lit(_ENDINGS[kind, script]))
-    return F.when(F.col("attempt") == 0, _one_of(_GIVEN[kind, script], _byte(0))).otherwise(made) if kind != "family" else made
+    return F.concat(*(_one_of(syllables, _byte(i)) for i in range(3 if attempt < 3 else 5 + attempt)), F.lit(_ENDINGS[kind, script]))
 
 
-def _surrogate() -> Column:
-    """Canonical form of the surrogate, from type, canonical, attempt and digest."""
+def _surrogate(attempt: int) -> Column:
+    """Canonical form of the surrogate, from type, canonical and digest."""
     c, kind = F.col("canonical"), F.col("type")
     local = F.substring_index(c, "@", 1)
+    more = F.concat(F.lit(""), *((_byte(50 + i) % 10).cast("string") for i in range(attempt - 1)))
     out = F.when(kind == "email", F.concat(_same_shape(local), F.lit("@"), F.array_join(F.array(*(_letter(_LATIN, _byte(i)) for i in range(40, 50))), ""), F.lit(".example")))
-    out = out.when(kind == "ip", F.concat_ws(".", _byte(0) % 223 + 1, _byte(1), _byte(2), _byte(3) % 254 + 1))
-    out = out.when(kind == "phone", F.concat(F.substring(c, 1, 1), F.substring(_same_shape(c), F.lit(2), F.length(c))))
-    out = out.when(kind == "iban", F.concat(F.substring(c, 1, 2), F.upper(F.substring(_same_shape(F.lower(c)), F.lit(3), F.length(c)))))
-    out = out.when(kind == "card", _like_card(c)).when(kind == "ssn", _same_shape(c))
-    for g, script in (("m", "latin"), ("f", "latin"), ("m", "cyrillic"), ("f", "cyrillic"), ("family", "latin"), ("family", "cyrillic")):
-        out = out.when(kind == f"{g}_{script}", _name(g, script))
+    if attempt < 3:
+        out = out.when(kind == "ip", F.concat_ws(".", _byte(0) % 223 + 1, _byte(1), _byte(2), _byte(3) % 254 + 1))
+    else:  # of the longer kind, in the range that is set aside for examples
+        out = out.when(kind == "ip", F.concat_ws(":", F.lit("2001:db8"), *(F.substring("digest", 1 + 4 * i, 4) for i in range(6))))
+    out = out.when(kind == "phone", F.concat(F.substring(c, 1, 1), F.substring(_same_shape(c), F.lit(2), F.length(c)), more))
+    out = out.when(kind == "iban", _like_iban(c, more)).when(kind == "card", _like_card(c, more)).when(kind == "ssn", F.concat(_same_shape(c), more))
+    for g in ("m", "f", "family"):
+        for script in ("latin", "cyrillic", "other"):
+            out = out.when(kind == f"{g}_{script}", _name(g, script, attempt))
     return out
 
 
@@ -117,7 +159,7 @@ def mentions(surfaces: DataFrame) -> DataFrame:
     whole = lambda p: s.rlike(f"^(?:{p})$")
     kind = F.when(s.contains("@"), "email").when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(PHONE), "phone").when(whole(IBAN), "iban").when(whole(CARD), "card").otherwise("person")
     words = F.split(s, " ")
-    script = F.when(s.rlike(r"\p{IsCyrillic}\P{L}*$"), "cyrillic").otherwise("latin")
+    script = F.when(s.rlike(r"\p{IsCyrillic}\P{L}*$"), "cyrillic").when(s.rlike(r"\p{IsLatin}\P{L}*$"), "latin").otherwise("other")
     gender = F.when(F.regexp_replace(words[0], r"\.$", "").isin(*TITLES["m"]), "m").otherwise("f")
     one = lambda t, c: F.struct(t.alias("type"), c.alias("canonical"))
     family = one(F.concat(F.lit("family_"), script), F.lower(F.element_at(words, -1)))
@@ -127,32 +169,39 @@ def mentions(surfaces: DataFrame) -> DataFrame:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """type, canonical, surrogate of distinct entities: surrogates all different, none of them an entity."""
+    """type, canonical, surrogate of distinct entities: surrogates all different, none of them an entity.
+
+    A round keeps what no other entity has and settles the smallest of those that want the same. From the third on
+    surrogates grow, so their number does by ten with each round, and the rounds end.
+    """
     entities = common.written(entities)
     left, done, attempt = entities, None, 0
     while True:
         digest = F.sha2(F.concat_ws("|", F.lit(key), "type", F.lit(str(attempt)), "canonical"), 512)
-        tried = common.written(left.withColumn("attempt", F.lit(attempt)).withColumn("digest", digest).withColumn("surrogate", _surrogate()).select("type", "canonical", "surrogate"))
-        first = tried.groupBy("type", "surrogate").agg(F.min("canonical").alias("canonical"))
-        free = first.join(entities.withColumnRenamed("canonical", "surrogate"), ["type", "surrogate"], "left_anti")
+        tried = left.withColumn("digest", digest).withColumn("surrogate", _surrogate(attempt)).select("type", "canonical", "surrogate")
+        free = tried.groupBy("type", "surrogate").agg(F.min("canonical").alias("canonical"))
+        free = free.join(entities.withColumnRenamed("canonical", "surrogate"), ["type", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
-        free = common.written(free.select("type", "canonical", "surrogate"))
-        done = free if done is None else done.unionAll(free)
-        left = common.written(tried.join(free, ["type", "canonical"], "left_anti").select("type", "canonical"))
+        free = free.select("type", "canonical", F.lit(True).alias("free"))
+        round_ = common.written(tried.join(free, ["type", "canonical"], "left"))
+        settled = round_.where("free").drop("free")
+        done = settled if done is None else done.unionAll(settled)
+        left = round_.where("free IS NULL").select("type", "canonical")
         if left.isEmpty():
             return done
         attempt += 1
 
 
 def _filled(surface: Column, new: Column, kept: str = "[^0-9]") -> Column:
-    """The layout of a mention (characters of `kept`) with other digits."""
+    """The layout of a mention (characters of `kept`) with other digits; those it has no room for stand at the end."""
 
     def put(ch: Column, i: Column) -> Column:
         nth = F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), kept, ""))
         return F.when(ch.rlike(kept), ch).otherwise(F.substring(new, nth, F.lit(1)))
 
-    return F.array_join(F.transform(F.split(surface, ""), put), "")
+    room = F.length(F.regexp_replace(surface, kept, ""))
+    return F.concat(F.array_join(F.transform(F.split(surface, ""), put), ""), F.substring(new, room + 1, F.length(new)))
 
 
 def _replacement() -> Column:
@@ -175,7 +224,8 @@ def replacements(surfaces: DataFrame, key: str) -> DataFrame:
 def replaced(docs: DataFrame, key: str = "lectern", text_column: str = "text") -> DataFrame:
     """docs with every entity of the text replaced, and n_entities.
 
-    Null and empty texts stay as they are, with no entities; rows of equal text get equal results; no row is lost or added;
+    Null and empty texts stay as they are, with no entities; a text or entity of any length is taken whole; rows of equal text get
+    equal results; no row is lost or added;
     an empty table stays empty; other columns stay, but for one that is called n_entities, which is replaced. `key` is the
     secret that makes surrogates unguessable, and alike between runs.
     """
