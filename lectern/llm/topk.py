@@ -22,12 +22,13 @@ SCALE = 1024
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, v: floor(SCALE * x) of each component, one for each id; without rows whose id or vector is null or holds a null or non-finite component."""
+    """id, v, times: floor(SCALE * x) of each component, and how many rows are alike; without rows whose id or vector is null
+    or holds a null or non-finite component."""
     v = F.col(vector_column).cast("array<double>")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(F.coalesce(whole, F.lit(False)))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(float(SCALE))).cast("long")).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -49,9 +50,10 @@ def _width(column: pa.ChunkedArray) -> int:
 class Lists:
     """A shard's vectors in order of each dimension, ascending."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
+        self.copies = None if copies is None else copies[by_id]
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.value = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
         self.floats = self.vectors.astype(np.float64)
@@ -63,6 +65,12 @@ class Lists:
             return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
         return self.vectors[rows] @ query
 
+    def place(self, id_: int, vector: np.ndarray) -> int:
+        """Where the first copy of a row is, or -1."""
+        a, b = np.searchsorted(self.ids, [id_, id_ + 1])
+        at = a + np.flatnonzero((self.copies[a:b] == 0) & (self.vectors[a:b] == vector).all(axis=1))
+        return int(at[0]) if len(at) else -1
+
     def top(self, query: np.ndarray, own: int, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores) of the k best other than the row at `own`, ties to the smaller id, and the depth walked."""
         n = len(self.ids)
@@ -97,31 +105,38 @@ class Lists:
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k highest scores among all other rows.
 
-    Ties go to the smaller id. Shorter vectors count as ending in zeros. An id is one vector: of rows that share it, the
-    smallest. Fewer rows than k give all of them; an empty table gives no rows; other columns are not looked at. Components times SCALE must stay below 2^31 in size / the square root of the dimension.
+    Ties go to the smaller id. Shorter vectors count as ending in zeros. Rows that share an id are vectors of their own, as
+    candidates and as queries: a query's own row alone is left out, and each such query has its k results under the id. Of
+    rows alike in id and vector, more than k + 1 cannot be told from k + 1 and travel as so many. Fewer rows than k give all
+    of them; an empty table gives no rows; other columns are not looked at. Components times SCALE must stay below 2^31 in
+    size / the square root of the dimension.
     """
-    rows = quantized(vectors, id_column, vector_column)
-    count = rows.select(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
+    alike = quantized(vectors, id_column, vector_column)
+    rows = alike.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least("times", F.lit(k + 1)).cast("int") - 1)))
+    count = rows.select(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") % every == 0) & (F.col("copy") == 0)).alias("q")).first()
     shards, blocks = max(1, -(-count["n"] // shard_rows)), max(1, -(-count["q"] // block_rows))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, *of: F.pmod(F.xxhash64("id", "v", *of), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = rows.select(deal(shards, 1).alias("shard"), every_one(blocks).alias("block"), "id", "v")
-    asked = rows.where(F.col("id") % every == 0).select(every_one(shards).alias("shard"), deal(blocks, 2).alias("block"), "id", "v")
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    sides = rows.select(deal(shards, "copy").alias("shard"), every_one(blocks).alias("block"), "id", "v", "copy")
+    # queries of one id are told apart by two hashes of their vectors
+    marks = F.xxhash64("v").alias("mark"), F.xxhash64(F.lit(1), "v").alias("mark2")
+    asked = alike.where(F.col("id") % every == 0).select(every_one(shards).alias("shard"), deal(blocks, F.lit(2)).alias("block"), "id", "v", "times", *marks)
+    out = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("mark2", pa.int64()), ("times", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(side, queries):
-        cols: list[list] = [[], [], []]
+        cols: list[list] = [[] for _ in out]
         if side.num_rows and queries.num_rows:
             width = max(_width(side.column("v")), _width(queries.column("v")))
-            lists = Lists(side.column("id").to_numpy(), _matrix(side.column("v"), width))
-            for q, v in zip(queries.column("id").to_numpy().tolist(), _matrix(queries.column("v"), width)):
-                at = np.searchsorted(lists.ids, q)
-                own = int(at) if at < len(lists.ids) and lists.ids[at] == q else -1
-                ids, scores, _ = lists.top(v, own, k)
-                for col, x in zip(cols, ([q] * len(ids), ids.tolist(), scores.tolist())):
+            lists = Lists(side.column("id").to_numpy(), _matrix(side.column("v"), width), side.column("copy").to_numpy())
+            of = zip(*(queries.column(c).to_pylist() for c in ("id", "mark", "mark2", "times")))
+            for (q, mark, mark2, times), v in zip(of, _matrix(queries.column("v"), width)):
+                ids, scores, _ = lists.top(v, lists.place(q, v), k)
+                for col, x in zip(cols, (*([c] * len(ids) for c in (q, mark, mark2, times)), ids.tolist(), scores.tolist())):
                     col.extend(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
-    found = sides.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    types = "query_id long, mark long, mark2 long, times long, vec_id long, score long"
+    found = sides.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, types)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mark", "mark2").orderBy(F.desc("score"), "vec_id")))
+    best = ranked.where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time_")).drop("time_")
