@@ -6,7 +6,8 @@ bucket every document is a candidate with the smallest one only, which bounds th
 link between two of its leaves, so a bucket whose documents are still in different components after that is gone through
 exactly: in blocks of bounded size, two at a time, an index over the shingles of one block counts what each document of
 the other shares with it, and only links that join two components leave the task, never pairs. All links are confirmed on
-full shingle sets, of the texts themselves.
+full shingle sets, of the texts themselves; documents of the same words, by a digest of these words, have the same set and
+are one before that.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (of the whole set), keys: of every row."""
+    """doc_id, n_shingles, fingerprint (128-bit digest of the words themselves), keys: of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches):
@@ -97,8 +98,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 doc, h = doc[new], h[new]
                 counts = np.bincount(doc, minlength=n)
-                ends = np.cumsum(counts)
-                marks = [hashlib.blake2b(h[e - c : e].tobytes(), digest_size=16).digest() if c else None for c, e in zip(counts.tolist(), ends.tolist())]
+                texts = (w.data[a:b].tobytes() for a, b in zip(w.offsets[:-1], w.offsets[1:]))  # lower-cased
+                marks = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if c else None for c, t in zip(counts.tolist(), texts)]
                 keys = band_keys(signatures(doc, h, n))
                 full = counts > 0
                 offsets = np.concatenate([[0], np.cumsum(full * keys.shape[1])]).astype(np.int32)
@@ -246,8 +247,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column
     Links hold between documents whose sets of `size`-word shingles (of the whole word sequence, if shorter; words with A-Z
     lower-cased) have 100 * intersection >= percent * union. component_id is the smallest id that links reach, kept tells
     whether it is the row's own. Null and empty texts have no shingle and no link. A row without an id has no component
-    and is kept. Rows that share an id are one document of several texts: a link to any of them counts. An empty table gives no rows; other
-    columns are not looked at.
+    and is kept. Rows that share an id are one document of several texts: a link to any of them counts. A text of any length is
+    taken whole. An empty table gives no rows; other columns are not looked at.
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), common.whole(text_column).alias("text"))
     sets = common.written(sketches(base, size))
