@@ -137,8 +137,12 @@ class Shard:
         keys = np.frombuffer(self.row["keys"], "<i8")
         return keys, np.arange(len(keys)) < self.row["n_nulls"]
 
+    def owners(self, offsets: np.ndarray) -> np.ndarray:
+        """The places, in payload order, of the documents whose ids begin at these offsets."""
+        return np.searchsorted(np.sort(self.at), offsets)
+
     def find(self, keys: np.ndarray, repeats: np.ndarray | None = None, nulls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each key: whether it is here, offset and length of its ids."""
+        """For each key: whether it is here by its fingerprint, offset and length of its ids."""
         none = np.zeros(len(keys), np.int64)
         hashes = key_hashes(keys, none if repeats is None else repeats, none if nulls is None else nulls)
         slots = self.index.slots(hashes)
@@ -210,10 +214,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_column: str = "doc_id") -> DataFrame:
-    """The ids of the given keys: key, ids (the first document of a key that several share in a shard).
+    """key, ids: of all documents of the given keys, also of those that share a key.
 
-    Keys meet only the shards whose range of keys covers them: both are dealt by stretches of the key space, and a key
-    that no document has gives no row.
+    Keys meet only the shards whose range of keys covers them, which they find by two binary searches: among the stretches of the
+    writing job's partitions, then among the shards of theirs. What a fingerprint finds is compared with the stored key.
+    Null keys find nothing, repeated ones count once, and a key that no document has gives no row.
     """
     first = np.dtype("<i8").itemsize
     files = spark.read.schema(SCHEMA).parquet(path).where(F.col("n_docs") > F.col("n_nulls"))
@@ -226,19 +231,48 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_column: str = "d
 
     ranges = files.select("part", "seq", "keys", "n_nulls").mapInArrow(bounds, "part int, seq int, low long, high long")
     by_part = ranges.groupBy("part").agg(F.min("low").alias("part_low"), F.max("high").alias("part_high"))
-    edges = sorted((r["part_low"], r["part_high"], r["part"]) for r in by_part.collect())  # one for each partition of the writing job
+    edges = np.array(sorted((r["part"], r["part_low"], r["part_high"]) for r in by_part.collect()), np.int64).reshape(-1, 3)  # one for each partition of the writing job
+    edges = spark.sparkContext.broadcast(edges)
     wanted = keys.where(F.col(key_column).isNotNull()).select(F.col(key_column).cast("long").alias("key")).distinct()
-    edge = spark.createDataFrame(edges or [(1, 0, -1)], "part_low long, part_high long, part int")
-    homes = wanted.join(F.broadcast(edge), F.col("key").between(F.col("part_low"), F.col("part_high"))).select("key", "part")
-    placed = homes.join(ranges, "part").where(F.col("key").between(F.col("low"), F.col("high"))).select("key", "part", "seq")
+
+    def covered(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a key, number of a range) of all ranges that cover a key; ranges in order."""
+        a, b = np.searchsorted(high, keys, "left"), np.searchsorted(low, keys, "right")
+        n = np.maximum(b - a, 0)
+        of = np.repeat(np.arange(len(keys)), n)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+
+    def to_parts(batches):
+        e = edges.value
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            of, at = covered(k, e[:, 1], e[:, 2])
+            yield pa.RecordBatch.from_arrays([pa.array(k[of]), pa.array(e[at, 0].astype(np.int32))], names=["key", "part"])
+
+    def to_shards(asked, own):
+        own = own.sort_by("seq")
+        k = asked.column("key").to_numpy()
+        of, at = covered(k, own.column("low").to_numpy(), own.column("high").to_numpy())
+        part, seq = (own.column(c).to_numpy()[at].astype(np.int32) for c in ("part", "seq"))
+        return pa.table({"key": pa.array(k[of], pa.int64()), "part": pa.array(part), "seq": pa.array(seq)})
+
+    homes = wanted.mapInArrow(to_parts, "key long, part int")
+    placed = homes.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(to_shards, "key long, part int, seq int")
 
     def get(rows, asked):
-        out = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
-        if not rows.num_rows or not asked.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())}, schema=out)
-        s, k = Shard(rows.to_pylist()[0]), asked.column("key").to_numpy()
-        found, at, size = s.find(k)
-        return pa.table({"key": pa.array(k[found]), "ids": pa.array([bytes(s.ids(a, n)) for a, n in zip(at[found].tolist(), size[found].tolist())], pa.binary())}, schema=out)
+        found_keys, ids = [], []
+        if rows.num_rows and asked.num_rows:
+            s, k = Shard(rows.to_pylist()[0]), asked.column("key").to_numpy()
+            stored, nulls = s.keys()
+            repeat = 0
+            while len(k):  # the next document of a key, while there is one
+                found, at, size = s.find(k, np.full(len(k), repeat))
+                owner = s.owners(at)
+                found &= (stored[owner] == k) & ~nulls[owner]
+                k, repeat = k[found], repeat + 1
+                found_keys += k.tolist()
+                ids += [bytes(s.ids(a, n)) for a, n in zip(at[found].tolist(), size[found].tolist())]
+        return pa.table({"key": pa.array(found_keys, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     return files.groupBy("part", "seq").cogroup(placed.groupBy("part", "seq")).applyInArrow(get, "key long, ids binary")
 
