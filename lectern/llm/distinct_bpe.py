@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +57,33 @@ class Pieces:
         return pieces
 
 
-def _splitter(pattern: str):
-    """Pre-tokens of a piece, as bytes."""
+@cache
+def unsettled(pattern: str) -> str:
+    """Characters that tiktoken and the library used here for splitting put into different classes of the pattern, since they
+    know different versions of Unicode. tiktoken shows its classes when a class is all of the pattern."""
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out: set[str] = set()
+    for class_ in set(re.findall(r"\\p\{\w+\}|\\[sdw]", pattern)):
+        own = tiktoken.Encoding("class", pat_str=class_, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out |= set(bytes(own.encode_ordinary(every)).decode()) ^ set(regex.findall(class_, every))
+    return "".join(sorted(out))
+
+
+def _splitter(pattern: str, whole: str):
+    """Pre-tokens of a piece, as bytes; a piece with a character of `whole` stays one, for tiktoken to split."""
     import regex
 
     find = regex.compile(pattern).findall
+    odd = re.compile(f"[{re.escape(whole)}]").search if whole else lambda piece: None
 
     def split(piece: str) -> list[bytes]:
-        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":  # the pattern takes it whole
+        if piece.isascii():
+            if piece[1:].isalpha() and piece[0] == " ":  # the pattern takes it whole
+                return [piece.encode()]
+        elif odd(piece):
             return [piece.encode()]
         return [m.encode() for m in find(piece)]
 
@@ -118,15 +138,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
     """doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]: ids of every whole text, and of their decoding.
 
     A null or empty text has no ids (hashes of nothing); a null id is kept; rows that share an id are encoded each for
-    itself; an empty table gives no rows; other columns are not looked at.
+    itself; a text of any length is taken whole; an empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    texts = chunks.packed(docs, n, **columns)
+    texts, whole = chunks.packed(docs, n, **columns), unsettled(pattern)
 
     def ask(key, group):
         common.lean()
-        split, words = _splitter(pattern), set()
+        split, words = _splitter(pattern, whole), set()
         pieces = Pieces(list(chunks.opened(group.column("blob"))))
         for p in pieces.firsts:
             words.update(split(p))
@@ -150,7 +170,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
 
     def assemble(group, answers):
         _, table = _codec(ranks_path, pattern)
-        split = _splitter(pattern)
+        split = _splitter(pattern, whole)
         of: dict[bytes, bytes] = {}
         for k, words, ids in zip(answers.column("n").to_pylist(), answers.column("words").to_pylist(), answers.column("ids").to_pylist()):
             of.update(zip(_unpack(words, k, 1), _unpack(ids, k, 4), strict=True))
