@@ -19,7 +19,7 @@ LETTERS = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{_BLANK}+|(?<!{_BLANK}){_BLANK}+\z", "")
 
 
 def is_running_line(line: Column) -> Column:
@@ -45,7 +45,7 @@ def cleaned(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words and numbers (with decimals) of at least two characters."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0)), lambda t: F.length(t) > 1)
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*+"), F.lit(0)), lambda t: F.length(t) > 1)
 
 
 def paragraphs(text: Column) -> Column:

@@ -49,7 +49,7 @@ def citations(answers: DataFrame) -> DataFrame:
 
     claim is what stands in the 80 characters before the bracket.
     """
-    mark = r"\[\d+(?:\s*,\s*\d+)*\]"
+    mark = r"\[\d+(?:\s*,\s*\d+)*+\]"
     rows = answers.withColumn("m", F.regexp_extract_all("answer", F.lit(mark), F.lit(0))).where(F.size("m") > 0).withColumn("g", F.split("answer", mark, -1))
     rows = rows.select("query_id", "answer", "chunks_provided", "g", F.col("m").alias("all"), F.posexplode("m").alias("i", "mark"))
     long = lambda a: F.aggregate(F.transform(a, F.length), F.lit(0), lambda s, x: s + x)
