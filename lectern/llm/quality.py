@@ -337,12 +337,17 @@ STEP = 1000  # bins of nll in a unit
 
 def bands(rows: DataFrame) -> DataFrame:
     """lang, middle, deviation: median of nll and median distance from it (as of a normal distribution), from a histogram
-    of all rows that pass the base rules."""
+    of all rows that pass the base rules. A language's bins are added up by STEP first, and only those of the step that holds its
+    median are put in order, so no task gets all bins of a language."""
 
     def median(hist: DataFrame, value: str) -> DataFrame:
-        run = Window.partitionBy("lang").orderBy(value)
-        half = hist.withColumn("run", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-        return half.where("2 * run >= all").groupBy("lang").agg(F.min(value).alias("median"))
+        bins = hist.withColumn("step", F.floor(F.col(value) / STEP))
+        below = Window.partitionBy("lang").orderBy("step")
+        steps = bins.groupBy("lang", "step").agg(F.sum("n").alias("m"))
+        steps = steps.withColumn("run", F.sum("m").over(below)).withColumn("all", F.sum("m").over(Window.partitionBy("lang")))
+        at = steps.where("2 * run >= all AND 2 * (run - m) < all").select("lang", "step", (F.col("run") - F.col("m")).alias("before"), "all")
+        inside = bins.join(at, ["lang", "step"]).withColumn("run", F.col("before") + F.sum("n").over(Window.partitionBy("lang").orderBy(value)))
+        return inside.where("2 * run >= all").groupBy("lang").agg(F.min(value).alias("median"))
 
     hist = rows.where(f"NOT {BASE_FAILED}").groupBy("lang", F.round(F.col("nll") * STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     middle = median(hist, "bin")
@@ -351,7 +356,7 @@ def bands(rows: DataFrame) -> DataFrame:
     return middle.join(spread, "lang").select("lang", (F.col("median") / STEP).alias("middle"), (F.col("deviation") * 1.4826 / STEP).alias("deviation"))
 
 
-def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, bits: int | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", extra: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float = 0.2, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity,
     and the columns of docs that extra names (other names than these; "text" is the text, null as empty), of the same row.
 
@@ -360,8 +365,8 @@ def judged(docs: DataFrame, upper: float = 6.0, lower: float = 8.0, least: float
     text's -log p but are not counted, so that they cannot make junk look likely) lies in its language's band: from `lower` deviations (at least
     `least`) under the median to `upper` ones over it, on the scale of logarithms. A mean over few words scatters more, so
     the band is wider by sqrt(1 + 64 / words). Null and empty texts have no words
-    and fail the base rules; null ids stay null; repeated rows are judged each for itself; an empty table gives no rows;
-    other columns are not looked at. `bits` says nothing any more: n-grams are kept by their codes, not by hashes.
+    and fail the base rules; a text of any length is taken whole; null ids stay null; repeated rows are judged each for itself; an
+    empty table gives no rows; other columns are not looked at.
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), common.whole(text_column).alias("text"), *(F.col(f"`{c}`") for c in extra if c != "text"))
     counts = common.written(count_ngrams(base))
