@@ -22,9 +22,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Of length 1; a zero vector stays."""
-    return let(norm(a), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
 
 
 def bucket(token: Column, dim: int) -> Column:
-    """The place of a token in a hashed bag of words."""
+    """The place of a token in a hashed bag of words: the first 32 bits of its MD5, modulo dim."""
+    if 256 % dim == 0:  # the last of their bytes tells
+        digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(token), at, 1)) - 1
+        return (digit(7) * 16 + digit(8)) % dim if dim > 16 else digit(8) % dim
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")

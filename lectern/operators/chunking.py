@@ -160,10 +160,10 @@ def compared(strategies: dict[str, DataFrame]) -> DataFrame:
 
 
 def samples(chunks: DataFrame, at: int = 2, by: str = "strategy") -> DataFrame:
-    """Of each strategy the chunk with number min(at, last)."""
+    """Of each strategy the chunk with number min(at, last). No task sees more than the first at + 1 of each other one."""
     order = Window.partitionBy(by).orderBy("doc_id", "chunk_id")
-    last = F.count(F.lit(1)).over(Window.partitionBy(by))
-    return chunks.withColumn("i", F.row_number().over(order) - 1).withColumn("n", last).where(F.col("i") == F.least(F.lit(at), F.col("n") - 1)).drop("i", "n")
+    first = chunks.withColumn("i", F.row_number().over(order)).where(F.col("i") <= at + 1)
+    return first.withColumn("n", F.max("i").over(Window.partitionBy(by))).where("i = n").drop("i", "n")
 
 
 def broken_boundaries(fixed_chunks: DataFrame, semantic_chunks: DataFrame) -> DataFrame:

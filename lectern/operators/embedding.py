@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import let, runs
 from ..functions import text as T
 from ..functions.vectors import bucket, dot, normalized
 
@@ -54,12 +55,14 @@ class SentenceTransformerEmbedder:
 
 
 def hash_embed(rows: DataFrame, key: list[str], dim: int = 64, text_column: str = "text") -> DataFrame:
-    """key, vector: hashed bag of tokens, of length 1. A stand-in without knowledge of meaning, for tests and offline use."""
-    cells = rows.select(*key, F.explode(F.array_append(F.transform(T.tokens(F.coalesce(F.col(text_column), F.lit(""))), lambda t: bucket(t, dim)), F.lit(-1))).alias("b"))
-    counts = cells.groupBy(*key, "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    maps = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.select(*key, normalized(raw).alias("vector"))
+    """key, vector: hashed bag of tokens, of length 1. A stand-in without knowledge of meaning, for tests and offline use.
+
+    Each row by itself, also of those that share a key.
+    """
+    places = F.sort_array(F.transform(T.tokens(F.coalesce(F.col(text_column), F.lit(""))), lambda t: bucket(t, dim)))
+    n = let(runs(places), lambda r: F.map_from_entries(F.transform(r, lambda x: F.struct(x["value"], x["n"].cast("double")))))
+    raw = let(n, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+    return rows.select(*key, normalized(raw).alias("vector"))
 
 
 def neighbour_similarity(vectors: DataFrame, by: str, order: str) -> DataFrame:

@@ -129,6 +129,8 @@ class MessagesBackend:
     def connect(self) -> object:
         import anthropic
 
+        if not os.environ.get("ANTHROPIC_API_KEY"):
+            raise ValueError("no key: set ANTHROPIC_API_KEY")
         return anthropic.Anthropic()
 
     def call(self, client: object, system: str, user: str) -> tuple[str, dict[str, int]]:
@@ -146,27 +148,26 @@ class ChatCompletionsBackend:
     base_url: str | None = None
     api_key: str | None = field(default=None, repr=False)
 
-    #: What an address contains, the name of its service, the variable that holds its key.
-    SERVICES = (("openrouter", "openrouter", "OPENROUTER_API_KEY"), ("deepseek", "deepseek", "DEEPSEEK_API_KEY"), ("z.ai", "zai", "ZAI_API_KEY"))
-
-    def _service(self) -> tuple[str, str]:
-        return next(((name, key) for part, name, key in self.SERVICES if part in (self.base_url or "")), ("openai", "OPENAI_API_KEY"))
+    #: What an address contains, which is the name of its service too, and the variables that may hold a key.
+    SERVICES = ("openrouter", "deepseek", "z.ai", "together")
+    KEYS = ("OPENAI_API_KEY", "OPENROUTER_API_KEY", "DEEPSEEK_API_KEY", "ZAI_API_KEY")
 
     @property
     def name(self) -> str:
-        return self._service()[0]
+        return next((s for s in self.SERVICES if s in (self.base_url or "")), "openai")
 
     def connect(self) -> object:
         import openai
 
-        key = self.api_key or os.environ.get(self._service()[1]) or os.environ.get("OPENAI_API_KEY")
+        own = self.name.replace(".", "").upper() + "_API_KEY"  # the service's own comes first
+        key = self.api_key or next(filter(None, map(os.environ.get, (own, *self.KEYS))), None)
         if not key:
-            raise ValueError(f"no key: set {self._service()[1]}")
+            raise ValueError(f"no key: set one of {', '.join(dict.fromkeys((own, *self.KEYS)))}")
         return openai.OpenAI(api_key=key, base_url=self.base_url)
 
     def call(self, client: object, system: str, user: str) -> tuple[str, dict[str, int]]:
         r = client.chat.completions.create(model=self.model, max_tokens=self.max_tokens, temperature=self.temperature, messages=[{"role": "system", "content": system}, {"role": "user", "content": user}])
-        return r.choices[0].message.content, {"input_tokens": r.usage.prompt_tokens, "output_tokens": r.usage.completion_tokens}
+        return r.choices[0].message.content, {"input_tokens": r.usage.prompt_tokens, "output_tokens": r.usage.completion_tokens} if r.usage else {}
 
 
 @dataclass
@@ -229,7 +230,8 @@ def presets(spark) -> DataFrame:
 
 
 def answers(prompts: DataFrame, to: Backend) -> DataFrame:
-    """prompts (query_id, query, context, chunks_provided) with answer, usage, provider: one call for each row with a context."""
+    """prompts (query_id, query, context, chunks_provided) with answer, usage, provider, model: one call for each row with a
+    context, be it an empty one; a null context says that nothing was retrieved, and gets the fixed refusal."""
 
     @F.pandas_udf("struct<answer:string,usage:map<string,int>>")
     def ask(users: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -237,14 +239,27 @@ def answers(prompts: DataFrame, to: Backend) -> DataFrame:
         for batch in users:
             yield pd.DataFrame([to.call(client, SYSTEM, u) for u in batch], columns=["answer", "usage"])
 
-    some = F.col("context").isNotNull() & (F.size("chunks_provided") > 0)
-    full = prompts.where(some).withColumn("r", ask(message(F.col("query"), F.col("context"))))
-    full = full.select(*prompts.columns, "r.answer", "r.usage", F.lit(to.name).alias("provider"))
-    none = prompts.where(~F.coalesce(some, F.lit(False))).select(*prompts.columns, F.lit(NO_CONTEXT).alias("answer"), F.lit(None).cast("map<string,int>").alias("usage"), F.lit(to.name).alias("provider"))
+    by = F.lit(to.name).alias("provider"), F.lit(getattr(to, "model", "")).alias("model")
+    full = prompts.where("context IS NOT NULL").withColumn("r", ask(message(F.col("query"), F.col("context"))))
+    full = full.select(*prompts.columns, "r.answer", "r.usage", *by)
+    none = prompts.where("context IS NULL").select(*prompts.columns, F.lit(NO_CONTEXT).alias("answer"), F.lit(None).cast("map<string,int>").alias("usage"), *by)
     return full.unionByName(none)
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """query_id, summary: of checked answers, in words."""
+    """query_id, summary: lines on each checked answer: the query, who answered, its citations and chunks, and tokens if known."""
+    for c, kind in (("query", "string"), ("provider", "string"), ("model", "string"), ("usage", "map<string,int>")):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
     n = lambda c: F.size(c).cast("string")
-    return rows.select("query_id", F.concat(F.lit("used "), n("chunks_used"), F.lit(" of "), n("chunks_provided"), F.lit(" chunks, "), F.col("n_citations").cast("string"), F.lit(" citations, "), F.when(F.col("faithful"), "faithful").otherwise("not faithful"), F.when(F.col("no_answer"), ", no answer").otherwise("")).alias("summary"))
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    tokens = lambda c: F.coalesce(F.try_element_at("usage", F.lit(c)).cast("string"), F.lit("?"))
+    lines = [
+        F.concat(F.lit("query: "), "query"),
+        F.concat(F.lit("answered by: "), "provider", F.when(F.col("model") != "", F.concat(F.lit(" / "), "model")).otherwise("")),
+        F.concat(F.lit("faithful: "), yes("faithful")),
+        F.concat(F.lit("no answer: "), yes("no_answer")),
+        F.concat(F.lit("chunks: "), n("chunks_provided"), F.lit(" provided, "), n("chunks_used"), F.lit(" used, "), n("chunks_unused"), F.lit(" unused")),
+        F.concat(F.lit("citations: "), F.col("n_citations").cast("string")),
+        F.when(F.size("usage") > 0, F.concat(F.lit("tokens: "), tokens("input_tokens"), F.lit(" in, "), tokens("output_tokens"), F.lit(" out"))),
+    ]
+    return rows.select("query_id", F.concat_ws("\n", *lines).alias("summary"))

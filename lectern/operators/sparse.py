@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import let, runs
 from ..functions import text as T
 from .dense import ranked
 
@@ -15,7 +16,7 @@ K1, B = 1.5, 0.75
 
 @dataclass
 class SparseIndex:
-    """postings (term, chunk_key, tf), lengths (chunk_key, dl), terms (term, df), corpus (n_docs, total_len)."""
+    """postings (term, chunk_key, tf, dl), lengths (chunk_key, dl), terms (term, df), corpus (n_docs, total_len)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -24,10 +25,14 @@ class SparseIndex:
 
 
 def index(chunks: DataFrame) -> SparseIndex:
-    """Of (chunk_key, text). Chunks without a token count in the corpus but have no postings."""
-    split = chunks.select("chunk_key", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    lengths = split.select("chunk_key", F.size("t").cast("long").alias("dl"))
-    postings = split.select("chunk_key", F.explode("t").alias("term")).groupBy("term", "chunk_key").agg(F.count(F.lit(1)).alias("tf"))
+    """Of (chunk_key, text). Chunks without a token count in the corpus but have no postings.
+
+    A chunk's tokens are counted in its own row, from their sorted list, so building the index moves nothing.
+    """
+    tokens = T.tokens(F.coalesce("text", F.lit("")))
+    lengths = chunks.select("chunk_key", F.size(tokens).cast("long").alias("dl"))
+    own = let(tokens, lambda t: F.transform(runs(F.sort_array(t)), lambda r: F.struct(r["value"].alias("term"), r["n"].cast("long").alias("tf"), F.size(t).cast("long").alias("dl"))))
+    postings = chunks.select("chunk_key", F.inline(own)).select("term", "chunk_key", "tf", "dl")
     return of_parts(postings, lengths)
 
 
@@ -41,8 +46,9 @@ def of_parts(postings: DataFrame, lengths: DataFrame) -> SparseIndex:
 def scores(ix: SparseIndex, queries: DataFrame) -> DataFrame:
     """query_id, chunk_key, score for each chunk that shares a term; a term counts as often as the query has it.
 
-    Terms of the queries choose their postings by a semi-join, which also goes below the counting of an index that isn't
-    saved; frequencies are needed for these terms alone. The one-row corpus table is broadcast.
+    Terms of the queries choose their postings by a semi-join; frequencies are needed for these terms alone, and a posting
+    has its chunk's length with it. The one-row corpus table is broadcast. An index that is searched often should be saved
+    first: otherwise each search reads the texts three times.
     """
     asked = queries.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -52,7 +58,7 @@ def scores(ix: SparseIndex, queries: DataFrame) -> DataFrame:
     weights = asked.join(terms, "term").join(corpus).select("query_id", "term", (F.col("times") * idf).alias("w"))
     # what depends on the chunk alone is worked out before the queries multiply the rows
     dampened = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_docs") / F.col("total_len")))
-    parts = postings.join(ix.lengths, "chunk_key").join(corpus).select("term", "chunk_key", dampened.alias("part"))
+    parts = postings.join(corpus).select("term", "chunk_key", dampened.alias("part"))
     return parts.join(weights, "term").groupBy("query_id", "chunk_key").agg(F.round(F.sum(F.col("w") * F.col("part")), 6).alias("score"))
 
 

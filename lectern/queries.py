@@ -16,7 +16,7 @@ from .functions.vectors import cosine
 from .operators import chunking, dense, embedding, evaluation, fusion, generation, sections, sparse
 from .plans import retriever
 from .sources import documents as sources
-from .sources import testset
+from .sources import tables, testset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,12 +33,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def _t(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    return tables.table(spark, f"{sf}/{name}.parquet", spread)
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_key"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), "text")
+    return _t(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("chunk_key"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), "text")
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +84,19 @@ summed AS (SELECT query_id, chunk_key, sum(1 / (60 + rank)) AS score, min(method
 fused AS (SELECT query_id, chunk_key, score, found_by, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, chunk_key)::INTEGER AS rank FROM summed)"""
 
 
+def _embedded(name: str, source: str) -> str:
+    """CTEs up to `name` (key, b, x): the places and values of the hashed bag of tokens of `source` (key, text)."""
+    return f"""{name}_n AS (SELECT key, (('0x' || substr(md5(t), 1, 8))::BIGINT % 64)::INTEGER AS b, count(*)::DOUBLE AS n FROM (SELECT key, unnest({_tok("text")}) AS t FROM ({source})) GROUP BY ALL),
+{name} AS (SELECT key, b, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS x FROM {name}_n)"""
+
+
+def _near(name: str, chunks: str, asked: str, every: str, queries: str) -> str:
+    """A CTE `name` (query_id, chunk_key, score, rank): products of the embedded `asked` and `chunks`, of all keys of `every` and `queries`."""
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key)::INTEGER AS rank FROM (
+  SELECT q.key AS query_id, c.key AS chunk_key, round(coalesce(dot, 0), 6) AS score FROM ({queries}) q CROSS JOIN ({every}) c
+  LEFT JOIN (SELECT a.key AS qk, e.key AS ck, sum(a.x * e.x) AS dot FROM {asked} a JOIN {chunks} e USING (b) GROUP BY ALL) ON qk = q.key AND ck = c.key))"""
+
+
 # text ------------------------------------------------------------------------------------------------------------
 
 
@@ -169,7 +182,19 @@ def get_section(spark, sf):
     return sections.named(sections.sections(_numbered(spark, sf)), "Assist").select("doc_id", "title")
 
 
-@query()
+_PAGES = r"""lines AS (SELECT conv_id, turn, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+  FROM (SELECT conv_id, turn, string_split((turn + 1) || ' Turn of ' || role || chr(10) || text, chr(10)) AS ls FROM conversations)),
+page AS (SELECT conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT ((i <= 2 OR i > n - 2) AND trim(line) <> '' AND length(trim(line)) <= 150
+  AND regexp_matches(trim(line), '(?i)^(\d+$|page\s+\d+|\d+\s+of\s+\d+|proceedings|journal|conference|vol\.|arxiv|preprint|under review|[\p{L}\p{N}_]+\s+et\s+al\.)'))), '') AS t FROM lines GROUP BY ALL),
+doc AS (SELECT conv_id, list(length(t) ORDER BY turn) AS sizes, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS x FROM page GROUP BY conv_id)"""
+
+
+@query(rf"""WITH {_PAGES}, paged AS (SELECT conv_id, len(sizes) AS n_pages, list_transform(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i]) + 2 * (i - 1)) AS ends,
+ {_strip(r"regexp_replace(regexp_replace(regexp_replace(x, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\n[a-zA-Z]\n', chr(10), 'g')")} AS x FROM doc),
+marks AS (SELECT conv_id, turn, title, ends, n_pages, strpos(chr(10) || x, chr(10) || title || chr(10)) - 1 AS start, length(x) AS size FROM (SELECT conv_id, turn, (turn + 1) || ' Turn of ' || role AS title FROM conversations) JOIN paged USING (conv_id)),
+bounds AS (SELECT *, lead(start, 1, size) OVER (PARTITION BY conv_id ORDER BY start) AS stop FROM marks),
+found AS (SELECT *, list_position(list_transform(ends, lambda e: e >= start), true) AS a, coalesce(list_position(list_transform(ends, lambda e: e >= stop), true), n_pages) AS b FROM bounds)
+SELECT conv_id AS doc_id, turn::INTEGER AS section_idx, title, (CASE WHEN a <= b THEN a ELSE 0 END)::INTEGER AS page_start, b::INTEGER AS page_end FROM found""")
 def page_map(spark, sf):
     pages = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.concat((F.col("turn") + 1).cast("string"), F.lit(" Turn of "), "role", F.lit("\n"), "text").alias("text"))
     docs = sections.joined_pages(pages)
@@ -247,7 +272,19 @@ def hierarchical_chunks(spark, sf):
     return chunking.hierarchical(found).drop("page_start", "page_end")
 
 
-@query()
+_CUT_600 = _passages("SELECT doc_id, text FROM documents", 600, 100)
+
+
+@query(f"""WITH {_CUT_600}, {_embedded("emb", "SELECT doc_id * 100000 + chunk_id AS key, text FROM passages")},
+sims AS (SELECT e.key, sum(e.x * f.x) AS sim FROM emb e JOIN emb f ON f.key = e.key - 1 AND f.b = e.b GROUP BY e.key),
+cut AS (SELECT doc_id, chunk_id AS i, text AS t, boundary AS k, round(coalesce(sim, 0), 12) AS sim FROM passages LEFT JOIN sims ON key = doc_id * 100000 + chunk_id),
+glued AS (
+  SELECT doc_id, i, 0 AS chunk_id, t AS text, k AS boundary, NULL::DOUBLE AS merge_sim FROM cut WHERE i = 0
+  UNION ALL
+  SELECT doc_id, i, chunk_id + (NOT joins)::INT, CASE WHEN joins THEN text || chr(10) || chr(10) || t ELSE t END, CASE WHEN joins THEN 'semantic_merge' ELSE k END, CASE WHEN joins THEN round_even(sim, 3) END
+  FROM (SELECT c.doc_id, c.i, g.chunk_id, g.text, c.t, c.k, c.sim, c.sim >= 0.6 AND length(g.text) + length(c.t) <= 1500 AS joins FROM glued g JOIN cut c ON c.doc_id = g.doc_id AND c.i = g.i + 1))
+SELECT doc_id, chunk_id::INTEGER AS chunk_id, arg_max(text, i) AS text, arg_max(boundary, i) AS boundary, any_value(m) AS merge_sim
+FROM (SELECT *, last_value(merge_sim) OVER (PARTITION BY doc_id, chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS m FROM glued) GROUP BY doc_id, chunk_id""")
 def merged_chunks(spark, sf):
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     cut = chunking.semantic(_t(spark, sf, "documents").select("doc_id", doubled.alias("text")), 600)
@@ -305,7 +342,7 @@ def adjacent_similarity(spark, sf):
 @query(f"""WITH c AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT % 64)::INTEGER AS b, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({_tok('text')}) AS t FROM documents) GROUP BY ALL),
 z AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM c GROUP BY doc_id) SELECT doc_id, b AS place, round(n / z, 5) AS x FROM c JOIN z USING (doc_id)""")
 def hash_embed(spark, sf):
-    made = embedding.hash_embed(_t(spark, sf, "documents"), ["doc_id"])
+    made = embedding.hash_embed(_t(spark, sf, "documents", spread=True), ["doc_id"])
     return made.select("doc_id", F.posexplode("vector").alias("place", "x")).where("x <> 0").withColumn("x", F.round("x", 5))
 
 
@@ -353,11 +390,11 @@ def rerank_moved(spark, sf):
     return fusion.moved(_hybrid(spark, sf))
 
 
-@query(f"""WITH {_BM25.replace("FROM documents)", "FROM documents SEMI JOIN embeddings ON vec_id = doc_id)")}, {_BY_ITEM.replace("FROM embeddings)", "FROM embeddings SEMI JOIN documents ON doc_id = vec_id)")}, {_FUSED}
+@query(f"""WITH {_BM25}, {_BY_ITEM.replace("FROM embeddings)", "FROM embeddings SEMI JOIN documents ON doc_id = vec_id)")}, {_FUSED}
 SELECT query_id, chunk_key, round(score, 6) AS score, rank, found_by FROM fused WHERE rank <= 5""")
 def hybrid_search(spark, sf):
-    chunks = _chunks(spark, sf).join(_vectors(spark, sf).drop("label"), "chunk_key")
-    asked = _questions(spark, sf).join(chunks.select("chunk_key", "vector"), F.col("chunk_key") == F.col("query_id")).select("query_id", "text", "vector")
+    chunks = _chunks(spark, sf).join(_vectors(spark, sf).drop("label"), "chunk_key", "left")
+    asked = _questions(spark, sf).join(_vectors(spark, sf), F.col("chunk_key") == F.col("query_id")).select("query_id", "text", "vector")
     return retriever.HybridRetriever(chunks, sparse.index(chunks)).search(asked).select("query_id", "chunk_key", F.round("score", 6).alias("score"), "rank", F.array_join("found_by", ",").alias("found_by"))
 
 
@@ -373,18 +410,44 @@ def topk_overlap(spark, sf):
     return evaluation.overlap(*_lists(spark, sf))
 
 
-@query()
+_TALKS = "SELECT conv_id AS doc_id, string_agg((turn + 1) || ' Turn of ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+_FIXED_TALKS = _FIXED.replace("RECURSIVE w", f"RECURSIVE talks AS ({_TALKS}), w").replace("FROM documents", "FROM talks")
+_BY_SECTION = f"""by_section AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_id) - 1)::INTEGER AS chunk_id, '[Section: ' || (turn + 1) || ' Turn of ' || role || ']' || chr(10) || p.text AS text
+  FROM passages p JOIN conversations ON doc_id = conv_id * 1000 + turn)"""
+_TWO_WAYS = f"""{_FIXED_TALKS}, {_passages("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations", 1500, 100).replace("RECURSIVE src", "src")}, {_BY_SECTION}"""
+
+
+def _by_section(spark, sf) -> DataFrame:
+    doubled = F.replace(F.col("content"), F.lit("\n"), F.lit("\n\n"))
+    return chunking.hierarchical(sections.sections(_numbered(spark, sf)).withColumn("content", doubled))
+
+
+@query(f"""WITH {_TWO_WAYS}, {_embedded("asked_v", "SELECT item_id AS key, text FROM benchmark")},
+{_embedded("fixed_v", "SELECT doc_id * 100000 + chunk_id AS key, text FROM fixed")}, {_embedded("section_v", "SELECT doc_id * 100000 + chunk_id AS key, text FROM by_section")},
+{_near("a", "fixed_v", "asked_v", "SELECT doc_id * 100000 + chunk_id AS key FROM fixed", "SELECT item_id AS key FROM benchmark")},
+{_near("z", "section_v", "asked_v", "SELECT doc_id * 100000 + chunk_id AS key FROM by_section", "SELECT item_id AS key FROM benchmark")}
+SELECT query_id, chunk_key, score, rank, 'fixed' AS strategy FROM a WHERE rank <= 3 UNION ALL SELECT query_id, chunk_key, score, rank, 'hierarchical' FROM z WHERE rank <= 3""")
 def strategy_topk(spark, sf):
-    docs, out = _t(spark, sf, "documents"), None
-    doubled = docs.select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    out = None
     asked = embedding.hash_embed(_questions(spark, sf), ["query_id"])
-    for name, cut in (("fixed", chunking.fixed(docs)), ("semantic", chunking.semantic(doubled))):
+    for name, cut in (("fixed", chunking.fixed(_numbered(spark, sf))), ("hierarchical", _by_section(spark, sf))):
         key = F.col("doc_id") * 100000 + F.col("chunk_id")
         part = dense.search(embedding.hash_embed(cut.select(key.alias("chunk_key"), "text"), ["chunk_key"]), asked, 3).withColumn("strategy", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(f"""WITH {_TWO_WAYS}, every AS (SELECT 'fixed' AS strategy, doc_id, chunk_id, text, NULL::VARCHAR AS section FROM fixed UNION ALL
+ SELECT 'hierarchical', doc_id, chunk_id, text, regexp_extract(text, '^.Section: ([^\\]]*)', 1) FROM by_section),
+placed AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY doc_id, chunk_id) AS i FROM every)
+SELECT strategy, doc_id, chunk_id, left(text, 120) AS begins, section FROM placed WHERE i <= 6 QUALIFY i = max(i) OVER (PARTITION BY strategy)""")
+def context_loss(spark, sf):
+    """One chunk of each strategy: the fixed one does not say what section it is of."""
+    cut = chunking.fixed(_numbered(spark, sf)).select(F.lit("fixed").alias("strategy"), "doc_id", "chunk_id", "text", F.lit(None).cast("string").alias("section"))
+    cut = cut.unionByName(_by_section(spark, sf).select(F.lit("hierarchical").alias("strategy"), "doc_id", "chunk_id", "text", "section"))
+    return chunking.samples(cut, 5).select("strategy", "doc_id", "chunk_id", F.substring("text", 1, 120).alias("begins"), "section")
+
+
 @query(f"WITH {_BM25} SELECT query_id, string_agg(left(source, 25), ',' ORDER BY rank) AS sections FROM sparse JOIN documents ON doc_id = chunk_key WHERE rank <= 5 GROUP BY query_id")
 def method_sections(spark, sf):
     hits = _hits(spark, sf)
@@ -452,10 +515,33 @@ def no_answer(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", generation.is_no_answer(F.col("text")).alias("no_answer"))
 
 
-@query()
+_EXTRACTED = rf"""{_TRIM}, one AS (SELECT item_id AS query_id, chunk_key AS k, b.text AS query, regexp_extract({_strip("h.text")}, '^([^\n]+?)(\.\s|\n|$)', 1) AS s,
+  EXISTS (SELECT 1 FROM sparse x WHERE x.query_id = item_id) AS hit FROM benchmark b LEFT JOIN h ON h.query_id = item_id AND h.rank = 1 AND used <= 16000),
+said AS (SELECT query_id, query, hit, k, CASE WHEN NOT hit THEN 'No context chunks were retrieved. Cannot answer.' WHEN k IS NULL THEN 'The provided context does not contain sufficient information.'
+  ELSE rtrim(trim(s), '.') || ' [' || k || '].' END AS answer FROM one),
+judged AS (SELECT *, k IS NULL OR len(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)),
+  lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), 'context does not|not enough information|cannot answer|not mentioned|no information') AND NOT regexp_matches(s, '\[\d+\]'))) = 0 AS faithful,
+  regexp_matches(lower(answer), 'does not contain sufficient information|context does not|cannot answer|not mentioned in the provided|no information about') AS no_answer FROM said)"""
+
+
+def _answered(spark, sf) -> DataFrame:
+    return retriever.answer(_questions(spark, sf), _hits(spark, sf), generation.backend("extractive"))
+
+
+@query(f"{_EXTRACTED} SELECT query_id, answer, faithful, no_answer, coalesce(k::VARCHAR, '') AS used FROM judged")
 def answers_extractive(spark, sf):
-    out = retriever.answer(_questions(spark, sf), _hits(spark, sf), generation.backend("extractive"))
-    return out.select("query_id", "answer", "faithful", "no_answer", F.array_join(F.transform("chunks_used", lambda x: x.cast("string")), ",").alias("used"))
+    return _answered(spark, sf).select("query_id", "answer", "faithful", "no_answer", F.array_join(F.transform("chunks_used", lambda x: x.cast("string")), ",").alias("used"))
+
+
+@query(f"""{_EXTRACTED}, given AS (SELECT query_id, count(*) AS n FROM h WHERE used <= 16000 GROUP BY query_id)
+SELECT query_id, 'extractive' AS provider, coalesce(n, 0)::INTEGER AS provided, (k IS NOT NULL)::INTEGER AS n_used, (coalesce(n, 0) - (k IS NOT NULL)::INTEGER)::INTEGER AS n_unused, CASE WHEN hit THEN length(answer) // 4 END::INTEGER AS output_tokens,
+ 'query: ' || query || chr(10) || 'answered by: extractive' AS head FROM judged LEFT JOIN given USING (query_id)""")
+def answer_summary(spark, sf):
+    rows = _answered(spark, sf)
+    heads = generation.summary(rows).select("query_id", F.regexp_extract("summary", r"(?s)\A(.*?\nanswered by: [^\n]*)\n", 1).alias("head"))
+    size = lambda c, n: F.size(c).alias(n)
+    counts = rows.select("query_id", "provider", size("chunks_provided", "provided"), size("chunks_used", "n_used"), size("chunks_unused", "n_unused"), F.try_element_at("usage", F.lit("output_tokens")).alias("output_tokens"))
+    return counts.join(heads, "query_id")
 
 
 # evaluation ------------------------------------------------------------------------------------------------------
@@ -468,6 +554,11 @@ def _cases(spark, sf) -> DataFrame:
     return _vectors(spark, sf).where("chunk_key % 50 = 0").select(F.col("chunk_key").alias("query_id"), expected.alias("expected_sections"), kind.alias("answer_type"))
 
 
+def _answer_cases(spark, sf) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 200 == 0, "unanswerable").otherwise("factual")
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), kind.alias("answer_type"))
+
+
 def _dense_sections(spark, sf) -> DataFrame:
     named = _vectors(spark, sf).select("chunk_key", F.concat(F.lit("topic "), F.col("label").cast("string")).alias("section"))
     return dense.search(_vectors(spark, sf), _vector_queries(spark, sf), 5).join(named, "chunk_key")
@@ -494,12 +585,12 @@ def _scored(spark, sf) -> DataFrame:
     return every.withColumn("model", F.lit("a")).unionByName(other)
 
 
-_ANSWERS = rf"{_CHECKED}, ans AS (SELECT query_id, CASE WHEN query_id % 200 = 0 THEN 'unanswerable' ELSE 'factual' END AS answer_type, n_citations > 0 AS has_citations, n_citations AS citation_count, n_invalid = 0 AND uncited = 0 AS faithful, (query_id % 200 = 0) AS no_answer_correct, length(answer)::INTEGER AS answer_length FROM u JOIN c USING (query_id) JOIN embeddings ON vec_id = query_id WHERE query_id % 50 = 0)"
+_ANSWERS = rf"{_CHECKED}, ans AS (SELECT query_id, CASE WHEN query_id % 200 = 0 THEN 'unanswerable' ELSE 'factual' END AS answer_type, n_citations > 0 AS has_citations, n_citations AS citation_count, n_invalid = 0 AND uncited = 0 AS faithful, (query_id % 200 = 0) AS no_answer_correct, length(answer)::INTEGER AS answer_length FROM u JOIN c USING (query_id))"
 
 
 @query(f"WITH {_ANSWERS} SELECT * FROM ans")
 def answer_scores(spark, sf):
-    return evaluation.answer_scores(_cases(spark, sf), generation.checked(_said(spark, sf)))
+    return evaluation.answer_scores(_answer_cases(spark, sf), generation.checked(_said(spark, sf)))
 
 
 _SUMMARY = f"""{_SCORES}, {_ANSWERS}, j AS (SELECT * FROM scores JOIN ans USING (query_id)),
@@ -537,7 +628,12 @@ def answerable_cases(spark, sf):
     return every.groupBy("difficulty").agg(F.count(F.lit(1)).alias("cases"))
 
 
-@query()
+_DEMO = "demo AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{text}', '{note}')" for i, text, note in testset.DEMO) + ") t(item_id, text, note))"
+
+
+@query(f"""WITH {_DEMO}, {_BM25.replace("FROM benchmark", "FROM demo")}, {_embedded("asked_v", "SELECT item_id AS key, text FROM demo")}, {_embedded("chunk_v", "SELECT doc_id AS key, text FROM documents")},
+{_near("dense", "chunk_v", "asked_v", "SELECT doc_id AS key FROM documents", "SELECT item_id AS key FROM demo")}, {_FUSED}, {_RERANKED.replace("JOIN benchmark", "JOIN demo").replace("f.rank <= 15", "f.rank <= 20")}
+SELECT note, query_id, chunk_key, rank, original_rank FROM reranked JOIN demo ON item_id = query_id WHERE rank <= 5""")
 def demo_search(spark, sf):
     asked = testset.demo_queries(spark)
     chunks = _chunks(spark, sf).join(embedding.hash_embed(_chunks(spark, sf), ["chunk_key"]), "chunk_key")

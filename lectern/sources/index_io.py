@@ -11,6 +11,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import sparse
 
+CONFIG = "model_name string, dim int, num_chunks long, fingerprint string"
+
 
 @dataclass
 class Index:
@@ -26,13 +28,13 @@ def save(index: Index, path: str, fingerprint: str = "") -> None:
     index.sparse.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.sparse.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     n = spark.read.parquet(f"{path}/chunks").count()
-    config = spark.createDataFrame([(index.model_name, index.dim, n, fingerprint)], "model_name string, dim int, num_chunks long, fingerprint string")
+    config = spark.createDataFrame([(index.model_name, index.dim, n, fingerprint)], CONFIG)
     config.coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
 
 def load(spark: SparkSession, path: str, dim: int | None = None) -> Index:
     """A dimension other than the expected one raises."""
-    config = spark.read.schema("model_name string, dim int, num_chunks long, fingerprint string").json(f"{path}/config").first()
+    config = spark.read.schema(CONFIG).json(f"{path}/config").first()
     if dim is not None and dim != config["dim"]:
         raise ValueError(f"the index has vectors of {config['dim']} dimensions, not {dim}")
     read = lambda part: spark.read.parquet(f"{path}/{part}")
@@ -40,9 +42,33 @@ def load(spark: SparkSession, path: str, dim: int | None = None) -> Index:
 
 
 def fingerprint(docs: DataFrame) -> str:
-    """Of all rows, in any order."""
-    r = docs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*docs.columns)).alias("x")).first()
-    return f"{r['n']}-{r['x'] or 0}"
+    """Of all rows, in any order; equal rows count each. Columns are told apart by place, nulls by a mark of their own."""
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    total = lambda *first: F.sum(F.xxhash64(*first, *columns).cast("decimal(38,0)"))
+    r = docs.agg(F.count(F.lit(1)).alias("n"), total().alias("x"), total(F.lit(1)).alias("y")).first()
+    return f"{r['n']}-{r['x'] or 0}-{r['y'] or 0}"
+
+
+def added(index: Index, chunks: DataFrame) -> Index:
+    """The index with more chunks (chunk_key, text, section, vector), whose keys are new; document frequencies and lengths are
+    those of all."""
+    if chunks.where(F.size("vector") != index.dim).count():
+        raise ValueError(f"the index has vectors of {index.dim} dimensions")
+    more = sparse.index(chunks)
+    both = sparse.of_parts(index.sparse.postings.unionByName(more.postings), index.sparse.lengths.unionByName(more.lengths))
+    return Index(index.chunks.unionByName(chunks.select(*index.chunks.columns)), both, index.model_name, index.dim)
+
+
+def append(spark: SparkSession, path: str, chunks: DataFrame, fingerprint: str = "") -> Index:
+    """Adds chunks to a saved index; only theirs are written. The config, written last, has the number of all."""
+    old = load(spark, path)
+    n, part = added(old, chunks).chunks.count(), sparse.index(chunks)
+    chunks.select(*old.chunks.columns).write.mode("append").parquet(f"{path}/chunks")
+    part.postings.write.mode("append").parquet(f"{path}/postings")
+    part.lengths.write.mode("append").parquet(f"{path}/lengths")
+    config = spark.createDataFrame([(old.model_name, old.dim, n, fingerprint)], CONFIG)
+    config.coalesce(1).write.mode("overwrite").json(f"{path}/config")
+    return load(spark, path)
 
 
 def open_or_build(spark: SparkSession, path: str, docs: DataFrame, build: Callable[[DataFrame], Index]) -> Index:

@@ -27,6 +27,14 @@ _ABOUT = [
 ]
 
 
+DEMO = [
+    (0, "how are distant parts of a text related to each other", "semantic"),
+    (1, "BM25 k1 b idf", "keyword"),
+    (2, "what is rank fusion and why is it used", "mixed"),
+    (3, "section on chunk sizes and overlap", "structural"),
+]
+
+
 def built_in(spark: SparkSession) -> DataFrame:
     """Thirteen cases about this engine."""
     return spark.createDataFrame([(i, *c, [c[3], c[4]]) for i, c in enumerate(_ABOUT)], f"case_id long, {CASE}")
@@ -34,13 +42,7 @@ def built_in(spark: SparkSession) -> DataFrame:
 
 def demo_queries(spark: SparkSession) -> DataFrame:
     """Four queries, each of a kind that another way of searching is good at."""
-    rows = [
-        (0, "how are distant parts of a text related to each other", "semantic"),
-        (1, "BM25 k1 b idf", "keyword"),
-        (2, "what is rank fusion and why is it used", "mixed"),
-        (3, "section on chunk sizes and overlap", "structural"),
-    ]
-    return spark.createDataFrame(rows, "query_id long, text string, note string")
+    return spark.createDataFrame(DEMO, "query_id long, text string, note string")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

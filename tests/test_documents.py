@@ -158,6 +158,30 @@ def test_index_files(spark, tmp_path):
         index_io.load(spark, path, 3)
 
 
+def test_index_grows(spark, tmp_path):
+    schema = "chunk_key long, text string, section string, vector array<double>"
+    rows = [(1, "red fox", "A", [1.0, 0.0]), (2, "blue fox", "B", [0.0, 1.0]), (3, "blue blue sky", "C", [0.6, 0.8]), (4, "red sky", "C", [0.8, 0.6])]
+    asked = spark.createDataFrame([(0, "blue sky")], "query_id long, text string")
+    whole, first, more = (spark.createDataFrame(r, schema) for r in (rows, rows[:2], rows[2:]))
+    made = lambda df: index_io.Index(df, sparse.index(df), "given", 2)
+    want = {tuple(r) for r in sparse.search(made(whole).sparse, asked).collect()}
+    grown = index_io.added(made(first), more)
+    assert {tuple(r) for r in sparse.search(grown.sparse, asked).collect()} == want and grown.chunks.count() == 4
+    path = f"file://{tmp_path}/index"
+    index_io.save(made(first), path)
+    saved = index_io.append(spark, path, more)
+    assert {tuple(r) for r in sparse.search(saved.sparse, asked).collect()} == want and saved.chunks.count() == 4
+    assert spark.read.json(f"{path}/config").first()["num_chunks"] == 4
+    with pytest.raises(ValueError):
+        index_io.append(spark, path, spark.createDataFrame([(9, "x", "D", [1.0])], schema))
+
+
+def test_fingerprint(spark):
+    mark = lambda *rows: index_io.fingerprint(spark.createDataFrame(list(rows), "a string, b string"))
+    assert mark(("x", "y"), ("z", "w")) == mark(("z", "w"), ("x", "y"))
+    assert len({mark(("x", "y"), ("x", "y")), mark(("z", "w"), ("z", "w")), mark(("x", "y")), mark((None, "x")), mark(("x", None)), mark(("", "x"))}) == 6
+
+
 def test_html(spark):
     df = spark.createDataFrame([(1, "<html><h1 class=x>The <b>Title</b></h1><p>one</p>\n<p>two <i>x</i></p></html>"), (2, "nothing")], "doc_id long, html string")
     assert [(r["title"], r["content"]) for r in documents.html_sections(df).orderBy("doc_id").collect()] == [("The Title", "one\n\ntwo x"), ("", "")]

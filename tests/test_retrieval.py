@@ -54,6 +54,8 @@ def test_dense(spark):
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "red fox red"), (2, ""), (3, None)], "id long, text string")
     got = {r["id"]: r["vector"] for r in embedding.hash_embed(df, ["id"], 16).collect()}
+    twice = embedding.hash_embed(df.withColumn("id", F.lit(1)), ["id"], 16).collect()
+    assert sorted(r["vector"] for r in twice) == sorted(got.values())
     assert math.isclose(sum(x * x for x in got[1]), 1) and set(got[2]) == set(got[3]) == {0.0} and len(got[1]) == 16
 
     class Lengths:
@@ -128,11 +130,12 @@ def test_citations(spark):
     assert [(r["position"], r["chunk_id"], r["claim"], r["valid"]) for r in marks] == [(32, 1, "Both of them say the same thing", True), (32, 2, "Both of them say the same thing", True)]
     long = spark.createDataFrame([(0, "x" * 200 + " y [1]", [1])], "query_id long, answer string, chunks_provided array<long>")
     assert generation.citations(long).first()["claim"] == "x" * 77 + " y"
-    assert "2 citations" in {r["query_id"]: r["summary"] for r in generation.summary(generation.checked(df)).collect()}[0]
+    assert "citations: 2" in {r["query_id"]: r["summary"] for r in generation.summary(generation.checked(df)).collect()}[0].split("\n")
 
 
 def test_backends():
-    assert generation.backend("openai", "m", base_url="https://openrouter.ai/api/v1").name == "openrouter"
+    for url, name in (("https://openrouter.ai/api/v1", "openrouter"), ("https://api.z.ai/v1", "z.ai"), ("https://api.together.xyz/v1", "together"), (None, "openai")):
+        assert generation.backend("openai", "m", base_url=url).name == name
     assert generation.preset("qwen").model == "qwen2.5" and len(generation.PRESETS) == 10
     with pytest.raises(ValueError):
         generation.backend("unknown")
@@ -174,9 +177,27 @@ def test_whole_plan(spark):
         assert top[0] == "Foxes" and top[1] in ("Sky", "Sea")
     scores = retriever.evaluate(cases, r, {"one": generation.backend("extractive"), "two": generation.backend("extractive")})
     s = {x["model"]: x for x in evaluation.summary(scores).collect()}
+    assert s["one"]["elapsed_seconds"] > 0 and s["two"]["elapsed_seconds"] > 0
     assert s["one"]["avg_recall"] == 1.0 and s["one"]["citation_rate"] == 1.0 and s["one"]["test_cases"] == 3 and s["two"]["avg_mrr"] == s["one"]["avg_mrr"]
     none = retriever.answer(cases, r.search(cases).where("false"), generation.backend("extractive")).collect()
-    assert all(x["no_answer"] and x["answer"] == generation.NO_CONTEXT for x in none) and len(none) == 3
+    assert all(x["no_answer"] and x["faithful"] and not x["uncited"] and x["answer"] == generation.NO_CONTEXT for x in none) and len(none) == 3
+    long = retriever.answer(cases, r.search(cases), generation.backend("extractive"), max_tokens=1)
+    assert all(x["usage"] and x["answer"].startswith("The provided context") and x["chunks_provided"] == [] for x in long.collect())
+    lines = generation.summary(long).first()["summary"].split("\n")
+    assert lines[0].startswith("query: ") and lines[1] == "answered by: extractive" and lines[-1].startswith("tokens: ")
+    half = chunks.withColumn("vector", F.when(F.col("chunk_key") != 0, F.col("vector")))
+    assert {x["chunk_key"] for x in retriever.HybridRetriever(half, sparse.index(half)).search(cases).where("query_id = 0").collect()} >= {0}
+
+
+def test_long_repetitions(spark):
+    """Patterns that repeat groups need no stack for it, and blanks no time."""
+    n = 300_000
+    rows = [(0, "1" + ".1" * n + " x"), (1, "[1" + ", 1" * n + "]"), (2, "a" + " " * n + "b" + "\n" * n)]
+    df = spark.createDataFrame([(i, i, "s", t) for i, t in rows], "chunk_key long, chunk_id long, section string, text string")
+    assert {r["chunk_key"]: r["dl"] for r in sparse.index(df).lengths.collect()} == {0: 1, 1: 0, 2: 0}
+    said = df.select(F.col("chunk_key").alias("query_id"), F.col("text").alias("answer"), F.array(F.lit(1).cast("long")).alias("chunks_provided"))
+    assert {r["query_id"]: r["n_citations"] for r in generation.checked(said).collect()} == {0: 0, 1: n + 1, 2: 0}
+    assert [r["n"] for r in df.select(F.length(T.cleaned(F.col("text"))).alias("n")).orderBy("chunk_key").collect()][2] == n + 2
 
 
 def test_streaming(spark, tmp_path):
