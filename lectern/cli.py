@@ -1,4 +1,4 @@
-"""Command line: python -m lectern.cli QUERY [--dir TABLES], ask, or models."""
+"""Command line: python -m lectern.cli QUERY [--dir TABLES], ask, evaluate, or models."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import queries
-from .operators import embedding, generation, sparse
+from .operators import embedding, evaluation, generation, sparse
 from .plans import retriever
+from .sources import testset
 
 
 def _session() -> SparkSession:
@@ -32,21 +34,44 @@ def _ask(spark: SparkSession, folder: str, backend: generation.Backend) -> None:
             asked = spark.createDataFrame([(0, line)], "query_id long, text string")
             asked = asked.join(embedding.hash_embed(asked, ["query_id"]), "query_id")
             said = retriever.answer(asked, search.search(asked), backend)
-            said.select("answer", "chunks_used", "faithful", "no_answer").show(truncate=False)
+            said.select("answer").show(truncate=False)
+            generation.summary(said).select("summary").show(truncate=False)
+
+
+def _evaluate(spark: SparkSession, folder: str, backends: dict[str, generation.Backend], test_set: str | None, verbose: bool) -> None:
+    """A test set (the built-in one by default) over the documents of a folder: metrics side by side, the best model of each, and
+    the worst cases of each model."""
+    chunks = queries._chunks(spark, folder)
+    chunks = chunks.join(embedding.hash_embed(chunks, ["chunk_key"]), "chunk_key").persist()
+    cases = testset.read(spark, test_set) if test_set else testset.built_in(spark)
+    cases = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("text"), "expected_sections", "answer_type")
+    cases = cases.join(embedding.hash_embed(cases, ["query_id"]), "query_id")
+    scores = retriever.evaluate(cases, retriever.HybridRetriever(chunks, sparse.index(chunks), stand_in=True), backends)
+    summary = evaluation.summary(scores)
+    table = evaluation.compared(summary).groupBy("metric").pivot("model", list(backends)).agg(F.first(F.round("value", 3)))
+    table.show(truncate=False)
+    evaluation.winners(summary, list(backends)).show(truncate=False)
+    if verbose:
+        evaluation.worst(scores).join(cases.select("query_id", "text", "expected_sections"), "query_id").orderBy("model", "place").show(truncate=80)
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lectern", description=__doc__)
-    parser.add_argument("what", choices=[*queries.QUERIES, "ask", "models"])
+    parser.add_argument("what", choices=[*queries.QUERIES, "ask", "evaluate", "models"])
     parser.add_argument("--dir", default="/root/testdata/sf0.001")
-    parser.add_argument("--model", help="a preset; the offline stand-in by default")
+    parser.add_argument("--model", action="append", default=[], help="a preset, several for evaluate; the offline stand-in by default")
+    parser.add_argument("--test-set", help="a JSON file of cases, for evaluate")
+    parser.add_argument("--quiet", action="store_true", help="no single cases")
     parser.add_argument("--rows", type=int, default=20, help="rows to show")
-    options, _ = parser.parse_known_args(args)
+    options = parser.parse_args(args)
+    backends = {m: generation.preset(m) for m in options.model} or {"extractive": generation.backend("extractive")}
     spark = _session()
     if options.what == "models":
         generation.presets(spark).show(truncate=False)
     elif options.what == "ask":
-        _ask(spark, options.dir, generation.preset(options.model) if options.model else generation.backend("extractive"))
+        _ask(spark, options.dir, next(iter(backends.values())))
+    elif options.what == "evaluate":
+        _evaluate(spark, options.dir, backends, options.test_set, not options.quiet)
     else:
         queries.QUERIES[options.what](spark, options.dir).show(options.rows, truncate=80)
 

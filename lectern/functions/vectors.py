@@ -27,7 +27,7 @@ def normalized(a: Column) -> Column:
 
 def bucket(token: Column, dim: int) -> Column:
     """The place of a token in a hashed bag of words: the first 32 bits of its MD5, modulo dim."""
-    if 256 % dim == 0:  # the last of their bytes tells
-        digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(token), at, 1)) - 1
-        return (digit(7) * 16 + digit(8)) % dim if dim > 16 else digit(8) % dim
+    if 256 % dim == 0:  # their last byte tells
+        digit = lambda h, at: let(F.ascii(F.substring(h, at, 1)), lambda a: a - F.when(a > 57, 87).otherwise(48))
+        return let(F.md5(token), lambda h: (digit(h, 7) * 16 + digit(h, 8)) % dim)
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")

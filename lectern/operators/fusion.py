@@ -18,12 +18,15 @@ def fuse(lists: list[DataFrame], k: int = K, top: int = 20) -> DataFrame:
     """query_id, chunk_key, score, rank, found_by of ranked lists (query_id, chunk_key, rank): sum of 1 / (k + rank).
 
     found_by names list and rank, in the order of the lists; ties go to what the first list ranks first, then the second.
+    A list has a chunk once for a query.
     """
     every = None
     for i, hits in enumerate(lists):
-        part = hits.select("query_id", "chunk_key", F.lit(i).alias("method"), "rank")
-        every = part if every is None else every.unionAll(part)
-    grouped = every.groupBy("query_id", "chunk_key").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.array_sort(F.collect_list(F.struct("method", "rank"))).alias("at"))
+        part = hits.select("query_id", "chunk_key", F.col("rank").alias(f"rank_{i}"))
+        every = part if every is None else every.join(part, ["query_id", "chunk_key"], "full_outer")
+    at = F.filter(F.array(*(F.struct(F.lit(i).alias("method"), F.col(f"rank_{i}").alias("rank")) for i in range(len(lists)))), lambda x: x["rank"].isNotNull())
+    score = F.aggregate("at", F.lit(0.0), lambda s, x: s + 1 / (k + x["rank"]))
+    grouped = every.select("query_id", "chunk_key", at.alias("at")).withColumn("score", score)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.col("at")[0], "chunk_key")
     names = F.transform("at", lambda x: F.concat(F.lit("method_"), x["method"], F.lit("@"), x["rank"]))
     return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "chunk_key", "score", "rank", names.alias("found_by"))

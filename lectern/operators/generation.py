@@ -26,17 +26,24 @@ SYSTEM = (
 )
 
 
-def trimmed(hits: DataFrame, max_tokens: int = 4000) -> DataFrame:
-    """The hits of each query, in order of rank, up to the first that overflows the budget of 4 characters a token."""
+def fitting(hits: DataFrame, max_tokens: int = 4000) -> DataFrame:
+    """hits with fits: whether a hit stands, in order of rank, before the first that overflows the budget of 4 characters a token."""
     run = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("used_", run).where(F.col("used_") <= max_tokens * CHARS_PER_TOKEN).drop("used_")
+    return hits.withColumn("fits", run <= max_tokens * CHARS_PER_TOKEN)
+
+
+def trimmed(hits: DataFrame, max_tokens: int = 4000) -> DataFrame:
+    """The hits of each query, in order of rank, up to the first that overflows the budget."""
+    return fitting(hits, max_tokens).where("fits").drop("fits")
 
 
 def context(hits: DataFrame) -> DataFrame:
-    """query_id, context, chunks_provided of hits (query_id, chunk_id, section, text, rank): without section headers, numbered."""
+    """query_id, context, chunks_provided of hits (query_id, chunk_id, section, text, rank[, fits]): without section headers, numbered.
+    Hits that do not fit are left out; a query that has no others gets an empty context."""
     bare = T.strip(F.regexp_replace("text", r"\A\[Section:[^\]]+\]\n?", ""))
     block = F.concat(F.lit("--- Chunk ["), F.col("chunk_id").cast("string"), F.lit("] | Section: "), F.coalesce("section", F.lit(UNKNOWN)), F.lit(" ---\n"), bare)
-    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block"), "chunk_id"))).alias("r"))
+    one = F.struct("rank", block.alias("block"), "chunk_id")
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), one) if "fits" in hits.columns else one)).alias("r"))
     return rows.select("query_id", F.array_join(F.transform("r", lambda x: x["block"]), "\n\n").alias("context"), F.transform("r", lambda x: x["chunk_id"].cast("long")).alias("chunks_provided"))
 
 
@@ -235,15 +242,14 @@ def answers(prompts: DataFrame, to: Backend) -> DataFrame:
 
     @F.pandas_udf("struct<answer:string,usage:map<string,int>>")
     def ask(users: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client = to.connect()
+        client, none = None, (NO_CONTEXT, None)
         for batch in users:
-            yield pd.DataFrame([to.call(client, SYSTEM, u) for u in batch], columns=["answer", "usage"])
+            if client is None and batch.notna().any():
+                client = to.connect()
+            yield pd.DataFrame([none if u is None else to.call(client, SYSTEM, u) for u in batch], columns=["answer", "usage"])
 
-    by = F.lit(to.name).alias("provider"), F.lit(getattr(to, "model", "")).alias("model")
-    full = prompts.where("context IS NOT NULL").withColumn("r", ask(message(F.col("query"), F.col("context"))))
-    full = full.select(*prompts.columns, "r.answer", "r.usage", *by)
-    none = prompts.where("context IS NULL").select(*prompts.columns, F.lit(NO_CONTEXT).alias("answer"), F.lit(None).cast("map<string,int>").alias("usage"), *by)
-    return full.unionByName(none)
+    said = prompts.withColumn("r", ask(message(F.col("query"), F.col("context"))))
+    return said.select(*prompts.columns, "r.answer", "r.usage", F.lit(to.name).alias("provider"), F.lit(getattr(to, "model", "")).alias("model"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

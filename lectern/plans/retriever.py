@@ -42,9 +42,8 @@ class HybridRetriever:
 def answer(queries: DataFrame, hits: DataFrame, backend: generation.Backend, max_tokens: int = 4000) -> DataFrame:
     """Checked answers to (query_id, text) from their hits. A query without hits gets the fixed refusal, which claims nothing
     and so is faithful; one whose hits are all too long is asked without context."""
-    block = generation.context(generation.trimmed(hits, max_tokens))
-    asked = queries.select("query_id", F.col("text").alias("query")).join(hits.select("query_id", F.lit("").alias("none")).distinct(), "query_id", "left")
-    prompts = asked.join(block, "query_id", "left").select("query_id", "query", F.coalesce("context", "none").alias("context"), F.coalesce("chunks_provided", F.array().cast("array<bigint>")).alias("chunks_provided"))
+    block = generation.context(generation.fitting(hits, max_tokens))
+    prompts = queries.select("query_id", F.col("text").alias("query")).join(block, "query_id", "left").withColumn("chunks_provided", F.coalesce("chunks_provided", F.array().cast("array<bigint>")))
     said, bare = generation.checked(generation.answers(prompts, backend)), F.col("context").isNull()
     return said.withColumn("uncited", F.when(bare, F.array().cast("array<string>")).otherwise(F.col("uncited"))).withColumn("faithful", bare | F.col("faithful"))
 

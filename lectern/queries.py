@@ -105,7 +105,7 @@ b AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(rep
  'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '’', ''''), '‘', ''''), '“', '"'), '”', '"'), '–', '-'), '—', '--') AS x FROM a)
 SELECT doc_id, {_strip(r"regexp_replace(x, '\n[a-zA-Z]\n', chr(10), 'g')")} AS text FROM b""")
 def clean_text(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", T.cleaned(F.col("text")).alias("text"))
+    return _t(spark, sf, "documents", spread=True).select("doc_id", T.cleaned(F.col("text")).alias("text"))
 
 
 @query(r"""WITH l AS (SELECT conv_id, string_split(string_agg(turn || ' of 9' || chr(10) || text || chr(10) || 'Page ' || turn, chr(10) ORDER BY turn), chr(10)) AS lines FROM conversations GROUP BY conv_id),
@@ -124,7 +124,7 @@ def strip_header_footer(spark, sf):
  SELECT doc_id, generate_subscripts(ps, 1) AS i, {_strip("unnest(ps)")} AS p FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS ps FROM documents)) WHERE p <> ''""")
 def paragraph_split(spark, sf):
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return _t(spark, sf, "documents").select("doc_id", F.posexplode(T.paragraphs(doubled)).alias("i", "text"))
+    return _t(spark, sf, "documents", spread=True).select("doc_id", F.posexplode(T.paragraphs(doubled)).alias("i", "text"))
 
 
 @query(rf"""WITH h AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(^|\s)({"|".join(T.ABBREVIATIONS)})(\.*|\s+)\.\s+', '\1\2\3.' || chr(1), 'gi'), '\.\s+') AS ps FROM documents),
@@ -132,7 +132,7 @@ s AS (SELECT doc_id, len(ps) AS n, unnest(ps) AS p, generate_subscripts(ps, 1) A
 o AS (SELECT doc_id, i, {_strip("replace(p, chr(1), ' ')")} || CASE WHEN i < n THEN '.' ELSE '' END AS text FROM s)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS i, text FROM o WHERE text <> ''""")
 def sentence_split(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+    return _t(spark, sf, "documents", spread=True).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
 
 
 @query(rf"""SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip("l")}), lambda l: length(l) > 10 AND NOT regexp_matches(l, '^\d'))[1], '') AS title FROM documents""")
@@ -343,7 +343,8 @@ def adjacent_similarity(spark, sf):
 z AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM c GROUP BY doc_id) SELECT doc_id, b AS place, round(n / z, 5) AS x FROM c JOIN z USING (doc_id)""")
 def hash_embed(spark, sf):
     made = embedding.hash_embed(_t(spark, sf, "documents", spread=True), ["doc_id"])
-    return made.select("doc_id", F.posexplode("vector").alias("place", "x")).where("x <> 0").withColumn("x", F.round("x", 5))
+    # the outer one, since for the other the optimizer adds a filter that works the vectors out once more
+    return made.select("doc_id", F.posexplode_outer("vector").alias("place", "x")).where("x <> 0").withColumn("x", F.round("x", 5))
 
 
 # retrieval -------------------------------------------------------------------------------------------------------
@@ -478,7 +479,7 @@ def context_block(spark, sf):
 def _said(spark, sf) -> DataFrame:
     n = lambda k: (F.col("doc_id") % k).cast("string")
     answer = F.concat("text", F.lit(" As told ["), n(4), F.lit("]. And then ["), n(3), F.lit(", "), n(7), F.lit("]. It cannot answer more than this."))
-    return _t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), answer.alias("answer"), F.array(*(F.lit(i).cast("long") for i in (0, 1, 2, 2))).alias("chunks_provided"))
+    return _t(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("query_id"), answer.alias("answer"), F.array(*(F.lit(i).cast("long") for i in (0, 1, 2, 2))).alias("chunks_provided"))
 
 
 _SAID = "said AS (SELECT doc_id AS query_id, text || ' As told [' || doc_id % 4 || ']. And then [' || doc_id % 3 || ', ' || doc_id % 7 || ']. It cannot answer more than this.' AS answer FROM documents)"

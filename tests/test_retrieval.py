@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -210,3 +211,17 @@ def test_streaming(spark, tmp_path):
     asked = spark.createDataFrame([(0, "blue fox"), (1, "number 17")], "query_id long, text string")
     whole = sparse.search(sparse.index(spark.createDataFrame(rows, schema)), asked)
     assert {tuple(r) for r in sparse.search(ingest.opened(spark, f"file://{tmp_path}/ix"), asked).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_command_line(spark, capsys):
+    from lectern import cli
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the synthetic tables")
+    cli.main(["evaluate", "--dir", "/root/testdata/sf0.001"])
+    out = capsys.readouterr().out
+    assert "avg_recall" in out and "elapsed_seconds" in out and "extractive" in out
+    cli.main(["dense_topk", "--rows", "3"])
+    assert "chunk_key" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
