@@ -3,8 +3,8 @@
 A chat client that logs the whole history with every request leaves each conversation many times over, as prefixes of the
 last one. The rolling hash of a prefix is the exclusive or of two 64-bit hashes of (position, role, text) over its turns.
 Conversations whose whole hash is the hash of a prefix of a longer one, or of an equal one with a smaller id, go by an
-anti-join with the prefix table, which is aggregated first: a first turn that a third of all conversations share is one
-row there. Positions and prefixes are counted within blocks of turn numbers and moved up by the blocks before, so a
+anti-join with the prefix table. Equal conversations and equal prefixes are aggregated first: what a third of all
+conversations share is one row there. Positions and prefixes are counted within blocks of turn numbers and moved up by the blocks before, so a
 conversation of any length is spread over tasks.
 """
 
@@ -47,13 +47,13 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """conv_id: of conversations that are no proper prefix of another, and of equal ones the smallest id."""
-    ends = F.when(F.col("pos") == F.col("n"), F.col("conv_id"))
-    seen = rolled.groupBy("pos", "h1", "h2").agg(F.max("n").alias("longest"), F.min(ends).alias("first"))
-    full = rolled.where("pos = n").select("conv_id", "pos", "h1", "h2")
-    covered = (F.col("longest") > F.col("s.pos")) | (F.col("first") < F.col("conv_id"))
-    same = (F.col("c.pos") == F.col("s.pos")) & (F.col("c.h1") == F.col("s.h1")) & (F.col("c.h2") == F.col("s.h2"))
-    return full.alias("c").join(seen.alias("s"), same & covered, "left_anti").select("conv_id")
+    """conv_id: of conversations that are no proper prefix of another, and of equal ones the smallest id.
+
+    Both sides of the anti-join are aggregated first, so a conversation logged very often is one row on either.
+    """
+    full = rolled.where("pos = n").groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    longer = rolled.where("pos < n").select("pos", "h1", "h2").distinct()
+    return full.join(longer, ["pos", "h1", "h2"], "left_anti").select("conv_id")
 
 
 def rendered_turn(role: str, text: str) -> Column:
