@@ -123,3 +123,25 @@ def test_rows_decide_for_themselves(spark, made, tmp_path):
     assert Counter(map(tuple, after.collect())) == Counter([*rows, *copies])
     last = [tuple(r) for r in stages["near-dedup"](spark, after, made).collect()]
     assert Counter((r[0], r[1]) for r in last) == Counter((r[0], r[1]) for r in rows)
+
+
+def test_odd_inputs(spark, made, tmp_path):
+    """Nulls in every column, repeated rows, a very long text and extra columns of clashing names, through all stages."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, prose(rng.randint(60, 120)), ["en", None][i % 2], [None, "s"][i % 3 > 0], None) for i in range(200)]
+    rows += [(500, prose(40_000), "en", "long", 7), rows[3]] + [(None, prose(70), None, None, None)] * 2 + [(None, None, None, None, None), (600, None, "en", "x", 0), (601, "", "en", "x", 0)]
+    extra = ", row string, chunk string, key string, found string, n_entities string, given_lang string, component_id string, extra_0 string"
+    docs = spark.createDataFrame([(*r, *"abcdefgh") for r in rows], SCHEMA + extra).repartition(3)
+    counts = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, made).write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS or name == "packing"
+        counts.append(docs.count())
+    assert counts[:4] == [len(rows) - 3, *[len(rows) - 5] * 3]  # without text; without copies
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {(i, t) for i, t, *_ in rows if t}
+    assert docs.agg({"length": "sum"}).first()[0] == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in texts)
+    assert docs.where("doc_id = 500").agg({"length": "max"}).first()[0] == 2048
