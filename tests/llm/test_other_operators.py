@@ -199,6 +199,42 @@ def test_collisions_are_resolved(spark):
     assert all(r["surrogate"].isdigit() and r["surrogate"][0] == "1" for r in got if r["type"] == "phone")
 
 
+def test_against_a_scan_by_hand(spark):
+    """All mentions and nothing else change; equal entities stay equal, different ones different, and none becomes another one."""
+    import regex
+
+    rng = random.Random(51)
+    some = lambda n, c="0123456789": "".join(rng.choice(c) for _ in range(n))
+    names = ["Anna", "Weber", "Müller", "Иванов", "Smith", "O'Neil", "Νίκος"]
+    makers = [
+        lambda: f"{some(3, 'abc')}{some(2)}@{some(2, 'xy')}.com",
+        lambda: f"+1 ({some(3)}) {some(3)}-{some(4)}",
+        lambda: f"{some(3)}-{some(2)}-{some(4)}",
+        lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(1, 255)}",
+        lambda: " ".join(some(4) for _ in range(4)),
+        lambda: f"DE{some(20)}",
+        lambda: f"{rng.choice(['Mr', 'Frau', 'г-н'])} {rng.choice(names)}",
+    ]
+    texts = []
+    for _ in range(150):
+        parts = [rng.choice(makers)() if rng.random() < 0.3 else some(rng.randint(1, 6), "klmno") for _ in range(40)]
+        texts.append("; ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    canonical = lambda x: ("digits", regex.sub("[^0-9]", "", x)) if regex.fullmatch(pii.PHONE + "|" + pii.SSN + "|" + pii.CARD, x) else ("name", x.split(" ", 1)[1].lower()) if regex.fullmatch(pii.PERSON, x) else ("other", x.lower())
+    became: dict[tuple, set] = defaultdict(set)
+    for r in pii.replaced(docs).collect():
+        found = [m for m in regex.finditer(pii.ENTITY, texts[r["doc_id"]])]
+        ends = [0, *(m.end() for m in found)]
+        gaps = [texts[r["doc_id"]][a:b] for a, b in zip(ends, [*(m.start() for m in found), len(texts[r["doc_id"]])])]
+        new = re.fullmatch("(.+?)".join(map(re.escape, gaps)), r["text"], re.DOTALL)
+        assert r["n_entities"] == len(found) and new
+        for m, x in zip(found, new.groups()):
+            became[canonical(m[0])].add(canonical(x))
+    assert len(became) > 500 and all(len(x) == 1 for x in became.values())
+    after = [next(iter(x)) for x in became.values()]
+    assert len(set(after)) == len(after) and not set(after) & set(became)
+
+
 def test_crowded_layout(spark):
     """All phone numbers of a layout: longer surrogates follow the layout as far as it goes."""
     texts = [f"+1 2{i} {j}3" for i in range(10) for j in range(10)]
