@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column
     mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     open_ = common.written(label.join(mixed, "key"))
     more = common.written(links_within(open_, texts, size, percent))
-    found = common.written(components(links.unionAll(more).unionAll(same)))
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what the links came to, in fewer rounds
+    found = common.written(components(stars.unionAll(more).unionAll(same)))
     common.forget(texts, active, open_)
     out = sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
