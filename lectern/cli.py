@@ -48,7 +48,7 @@ def _evaluate(spark: SparkSession, folder: str, backends: dict[str, generation.B
     cases = cases.join(embedding.hash_embed(cases, ["query_id"]), "query_id")
     scores = retriever.evaluate(cases, retriever.HybridRetriever(chunks, sparse.index(chunks), stand_in=True), backends)
     summary = evaluation.summary(scores)
-    table = evaluation.compared(summary).groupBy("metric").pivot("model", list(backends)).agg(F.first(F.round("value", 3)))
+    table = evaluation.compared(evaluation.rounded(summary)).groupBy("metric").pivot("model", list(backends)).agg(F.first("value"))
     table.show(truncate=False)
     evaluation.winners(summary, list(backends)).show(truncate=False)
     if verbose:

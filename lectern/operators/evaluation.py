@@ -72,9 +72,14 @@ def compared(summaries: DataFrame) -> DataFrame:
     return summaries.unpivot("model", list(METRICS), "metric", "value")
 
 
+def rounded(summaries: DataFrame) -> DataFrame:
+    """Summaries as they are shown: metrics to 3 places, seconds to 1."""
+    return summaries.select("model", "test_cases", *(F.round(c, 1 if c == "elapsed_seconds" else 3).alias(c) for c in METRICS))
+
+
 def winners(summaries: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """metric, model, value: the best model of each metric after rounding to 3 places; ties go to the first in `order`, then by name."""
-    rows = compared(summaries).withColumn("value", F.round("value", 3))
+    """metric, model, value: the best model of each metric after rounding; ties go to the first in `order`, then by name."""
+    rows = compared(rounded(summaries))
     place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("model")), F.lit(0)) if order else F.lit(0)
     less = [m for m, more in METRICS.items() if not more]
     better = F.when(F.col("metric").isin(*less), F.col("value")).otherwise(-F.col("value"))

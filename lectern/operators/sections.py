@@ -78,10 +78,9 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def with_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
     """found with page_start and page_end, from the page lengths before cleaning (an estimate, since offsets are after it)."""
-    rows = found.join(pages.select("doc_id", "page_lengths", "n_pages"), "doc_id", "left")
-    # position at which each page ends, pages being two characters apart
+    # position at which each page ends, pages being two characters apart; once for each document
     ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size("page_lengths"), F.lit(1))), lambda i: F.aggregate(F.slice("page_lengths", F.lit(1), i), F.lit(-2), lambda a, x: a + x + 2))
-    rows = rows.withColumn("ends", ends)
+    rows = found.join(pages.select("doc_id", "n_pages", ends.alias("ends")), "doc_id", "left")
     first = lambda at: F.array_position(F.transform("ends", lambda e: e >= F.col(at)), F.lit(True)).cast("int")
     bare = F.col("bare")
     # a page counts as the first only if the walk gets to it

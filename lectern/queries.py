@@ -602,8 +602,7 @@ summed AS (SELECT model, count(*) AS test_cases, avg(recall) AS avg_recall, avg(
 
 @query(f"WITH {_SUMMARY} SELECT model, test_cases, round(avg_recall, 3) AS avg_recall, round(avg_mrr, 3) AS avg_mrr, round(avg_precision, 3) AS avg_precision, round(citation_rate, 3) AS citation_rate, round(faithfulness_rate, 3) AS faithfulness_rate, round(no_answer_accuracy, 3) AS no_answer_accuracy FROM summed")
 def eval_summary(spark, sf):
-    s = evaluation.summary(_scored(spark, sf))
-    return s.select("model", "test_cases", *(F.round(c, 3).alias(c) for c in evaluation.METRICS if c != "elapsed_seconds"))
+    return evaluation.rounded(evaluation.summary(_scored(spark, sf))).drop("elapsed_seconds")
 
 
 @query(f"""WITH {_SUMMARY}, long AS (SELECT model, metric, round(value, 3) AS value FROM (SELECT * EXCLUDE (test_cases) FROM summed) UNPIVOT (value FOR metric IN (avg_recall, avg_mrr, avg_precision, citation_rate, faithfulness_rate, no_answer_accuracy, elapsed_seconds)))
