@@ -77,13 +77,13 @@ def _splitter(pattern: str, whole: str):
     import regex
 
     find = regex.compile(pattern).findall
-    odd = re.compile(f"[{re.escape(whole)}]").search if whole else lambda piece: None
+    settled = frozenset(whole).isdisjoint  # a class of so many characters of high planes is slow as a pattern
 
     def split(piece: str) -> list[bytes]:
         if piece.isascii():
             if piece[1:].isalpha() and piece[0] == " ":  # the pattern takes it whole
                 return [piece.encode()]
-        elif odd(piece):
+        elif not settled(piece):
             return [piece.encode()]
         return [m.encode() for m in find(piece)]
 
