@@ -104,20 +104,25 @@ def semantic(docs: DataFrame, most: int = 1500, least: int = 100, keep: tuple[st
 
 def merged(chunks: DataFrame, most: int = 1500, threshold: float = 0.8) -> DataFrame:
     """doc_id, chunk_id, text, boundary, merge_sim of (doc_id, chunk_id, text, boundary, vector): a chunk joins the one before if
-    the vectors of both, as they were, are similar and the joined text has room."""
+    the vectors of both, as they were, are similar and the joined text has room.
+
+    Similarities have 12 places, so that the order of adding does not tell whether one reaches the threshold; merge_sim has 3,
+    half to even.
+    """
     order = Window.partitionBy("doc_id").orderBy("chunk_id")
-    rows = chunks.withColumn("sim", dot(F.lag("vector").over(order), F.col("vector")))
+    sims = chunks.withColumn("sim", F.round(dot(F.lag("vector").over(order), F.col("vector")), 12))
+    rows = sims.select("doc_id", "chunk_id", "text", "boundary", "sim", F.bround("sim", 3).alias("shown"))
 
     def fold(key, group):
         out: list[list] = []
-        for t, b, sim in group.sort_values("chunk_id")[["text", "boundary", "sim"]].itertuples(index=False):
+        for t, b, sim, shown in group.sort_values("chunk_id")[["text", "boundary", "sim", "shown"]].itertuples(index=False):
             if out and sim >= threshold and len(out[-1][0]) + len(t) <= most:
-                out[-1] = [f"{out[-1][0]}\n\n{t}", "semantic_merge", round(sim, 3)]
+                out[-1] = [f"{out[-1][0]}\n\n{t}", "semantic_merge", shown]
             else:
                 out.append([t, b, None])
         return pd.DataFrame([(key[0], i, *x) for i, x in enumerate(out)], columns=["doc_id", "chunk_id", "text", "boundary", "merge_sim"])
 
-    return rows.select("doc_id", "chunk_id", "text", "boundary", "sim").groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_id int, text string, boundary string, merge_sim double")
+    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_id int, text string, boundary string, merge_sim double")
 
 
 def hierarchical(sections: DataFrame, most: int = 1500, least: int = 100, with_header: bool = True) -> DataFrame:

@@ -108,6 +108,15 @@ def test_merged(spark):
     assert got == [(0, "a\n\nb", "semantic_merge", 0.9), (1, "c", "paragraph", None), (2, "d" * 20, "paragraph", None)]
 
 
+def test_merged_at_the_threshold(spark):
+    # eight times 0.1, one after the other, is 0.8 less the last bit; the others lie half way between two of three places
+    pairs = {1: ([0.1] * 8, [1.0] * 8), 2: ([0.8015], [1.0]), 3: ([0.8025], [1.0]), 4: ([0.7999], [1.0])}
+    rows = [(doc, i, "ab"[i], "paragraph", v) for doc, p in pairs.items() for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_id int, text string, boundary string, vector array<double>")
+    got = chunking.merged(df, 20, 0.8).orderBy("doc_id", "chunk_id").collect()
+    assert [(r["doc_id"], r["text"], r["merge_sim"]) for r in got] == [(1, "a\n\nb", 0.8), (2, "a\n\nb", 0.802), (3, "a\n\nb", 0.802), (4, "a", None), (4, "b", None)]
+
+
 def test_hierarchical(spark):
     df = spark.createDataFrame([(1, 0, "A", 1, "x" * 200, 1, 2), (1, 1, "Blank", 1, "  ", 2, 2), (1, 2, "B", 2, "y" * 150 + "\n\n" + "z" * 150, 2, 3)], "doc_id long, section_idx int, title string, level int, content string, page_start int, page_end int")
     rows = chunking.hierarchical(df).orderBy("chunk_id").collect()
