@@ -52,9 +52,14 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n", -1), strip), lambda p: p != "")
 
 
-def sentences(text: Column) -> Column:
-    """Pieces that end with a period and white space, unless an abbreviation stands before it."""
-    held = F.regexp_replace(text, rf"(?iU)(?<!\S)({'|'.join(ABBREVIATIONS)})(\.*|\s+)\.\s+", f"$1$2.{_HELD}")
+def sentences(text: Column, in_a_row: bool = True) -> Column:
+    """Pieces that end with a period and white space, unless an abbreviation stands before it.
+
+    in_a_row: also if that one comes right after another ("al. al. x" is one piece). If not, the white space after an
+    abbreviation counts for that one only, so that of several in a row every second one ends its piece.
+    """
+    before = r"(?<!\S)" if in_a_row else r"\A|\s"
+    held = F.regexp_replace(text, rf"(?iU)({before})({'|'.join(ABBREVIATIONS)})(\.*|\s+)\.\s+", f"$1$2$3.{_HELD}")
     end = lambda i, pieces: F.when(i < F.size(pieces) - 1, ".").otherwise("")
     whole = let(F.split(held, r"(?U)\.\s+", -1), lambda pieces: F.transform(pieces, lambda p, i: F.concat(strip(F.replace(p, F.lit(_HELD), F.lit(" "))), end(i, pieces))))
     return F.filter(whole, lambda s: s != "")
