@@ -34,7 +34,7 @@ def windows(text: str, size: int, overlap: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def python_sentences(text: str) -> list[str]:
+def python_sentences(text: str, in_a_row: bool = True) -> list[str]:
     """As functions.text.sentences, for folds that run in Python anyway."""
     parts = _PERIOD.split(text)
     out, held = [], []
@@ -42,7 +42,8 @@ def python_sentences(text: str) -> list[str]:
         held.append(part)
         words = part.split()
         if i + 1 < len(parts):
-            if words and words[-1].lower().rstrip(".") in T.ABBREVIATIONS:
+            after_another = len(held) > 1 and len(words) == 1
+            if words and words[-1].lower().rstrip(".") in T.ABBREVIATIONS and (in_a_row or not after_another):
                 continue
             out.append(". ".join(held).strip() + ".")
             held = []
@@ -63,12 +64,14 @@ def _packed(sentences: list[str], limit: int) -> Iterator[str]:
         yield " ".join(group)
 
 
-def passages(text: str, most: int, least: int) -> list[tuple[str, str]]:
-    """(text, boundary): paragraphs; short ones joined to the passage before if it has room, long ones packed by sentences."""
+def passages(text: str, most: int, least: int, in_a_row: bool = True) -> list[tuple[str, str]]:
+    """(text, boundary): paragraphs; short ones joined to the passage before if it has room, long ones packed by sentences.
+
+    in_a_row: as in functions.text.sentences."""
     out: list[tuple[str, str]] = []
     for p in filter(None, (x.strip() for x in _GAP.split(text))):
         if len(p) > most:
-            out.extend((x, "sentence") for x in _packed(python_sentences(p), most))
+            out.extend((x, "sentence") for x in _packed(python_sentences(p, in_a_row), most))
         elif len(p) < least and out and len(out[-1][0]) + 2 + len(p) <= most:
             out[-1] = (f"{out[-1][0]}\n\n{p}", "merged_paragraph")
         else:
@@ -90,13 +93,13 @@ def fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     return rows.select("doc_id", "chunk_id", "c.text", "c.char_start", "c.char_end")
 
 
-def semantic(docs: DataFrame, most: int = 1500, least: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, chunk_id, text, boundary of (keep, text)."""
+def semantic(docs: DataFrame, most: int = 1500, least: int = 100, keep: tuple[str, ...] = ("doc_id",), in_a_row: bool = True) -> DataFrame:
+    """keep, chunk_id, text, boundary of (keep, text). in_a_row: as in functions.text.sentences."""
 
     @F.pandas_udf("array<struct<text:string,boundary:string>>")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: [dict(zip(("text", "boundary"), p)) for p in passages(t, most, least)] if t else [])
+            yield batch.map(lambda t: [dict(zip(("text", "boundary"), p)) for p in passages(t, most, least, in_a_row)] if t else [])
 
     rows = docs.select(*keep, F.posexplode(cut("text")).alias("chunk_id", "c"))
     return rows.select(*keep, "chunk_id", "c.text", "c.boundary")

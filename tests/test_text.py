@@ -79,3 +79,14 @@ def test_python_sentences(text):
     from lectern.operators.chunking import python_sentences
 
     assert python_sentences(text) == split_model(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["al", "Dr", "x", ".", ". ", " ", "\n", ".. "]), max_size=14).map("".join))
+def test_python_sentences_one_by_one(text):
+    from lectern.operators.chunking import python_sentences
+
+    held = re.sub(rf"(^|\s)({'|'.join(T.ABBREVIATIONS)})(\.*|\s+)\.\s+", "\\1\\2\\3.\x01", text, flags=re.I)
+    parts = re.split(r"\.\s+", held)
+    want = [p.replace("\x01", " ").strip() + "." * (i < len(parts)) for i, p in enumerate(parts, 1)]
+    assert [" ".join(s.split()) for s in python_sentences(text, False)] == [" ".join(s.split()) for s in want if s]
