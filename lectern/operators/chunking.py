@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,17 +116,32 @@ def merged(chunks: DataFrame, most: int = 1500, threshold: float = 0.8) -> DataF
     order = Window.partitionBy("doc_id").orderBy("chunk_id")
     sims = chunks.withColumn("sim", F.round(dot(F.lag("vector").over(order), F.col("vector")), 12))
     rows = sims.select("doc_id", "chunk_id", "text", "boundary", "sim", F.bround("sim", 3).alias("shown"))
-
-    def fold(key, group):
-        out: list[list] = []
-        for t, b, sim, shown in group.sort_values("chunk_id")[["text", "boundary", "sim", "shown"]].itertuples(index=False):
-            if out and sim >= threshold and len(out[-1][0]) + len(t) <= most:
-                out[-1] = [f"{out[-1][0]}\n\n{t}", "semantic_merge", shown]
-            else:
-                out.append([t, b, None])
-        return pd.DataFrame([(key[0], i, *x) for i, x in enumerate(out)], columns=["doc_id", "chunk_id", "text", "boundary", "merge_sim"])
-
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_id int, text string, boundary string, merge_sim double")
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.int32()), ("text", pa.string()), ("boundary", pa.string()), ("merge_sim", pa.float64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents one after the other, each in the order of its chunks; the chunk that may still grow is held."""
+        held: list = []
+        for batch in batches:
+            out = []
+            for doc, _, t, b, sim, shown in zip(*(c.to_pylist() for c in batch.columns)):
+                same = bool(held) and held[0] == doc
+                if same and sim is not None and sim >= threshold and held[5] + len(t) <= most:
+                    held[2].append(t)
+                    held[3:] = ["semantic_merge", shown, held[5] + 2 + len(t)]
+                    continue
+                if held:
+                    out.append(held)
+                held = [doc, held[1] + 1 if same else 0, [t], b, None, len(t)]
+            yield packed(out)
+        if held:
+            yield packed([held])
+
+    def packed(out: list[list]) -> pa.RecordBatch:
+        rows = [(doc, i, "\n\n".join(ts), b, sim) for doc, i, ts, b, sim, _ in out]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    # the window has brought each document to one partition
+    return rows.sortWithinPartitions("doc_id", "chunk_id").mapInArrow(fold, "doc_id long, chunk_id int, text string, boundary string, merge_sim double")
 
 
 def hierarchical(sections: DataFrame, most: int = 1500, least: int = 100, with_header: bool = True) -> DataFrame:

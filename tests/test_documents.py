@@ -117,6 +117,21 @@ def test_merged_at_the_threshold(spark):
     assert [(r["doc_id"], r["text"], r["merge_sim"]) for r in got] == [(1, "a\n\nb", 0.8), (2, "a\n\nb", 0.802), (3, "a\n\nb", 0.802), (4, "a", None), (4, "b", None)]
 
 
+def test_merged_over_batches(spark):
+    """A chunk that grows through several batches, documents that begin within one, one without a number."""
+    sizes = {1: 5, 2: 1, 3: 4, None: 3}
+    rows = [(doc, i, f"{doc}.{i}", "paragraph", [1.0, 0.0]) for doc, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_id int, text string, boundary string, vector array<double>").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = {(r["doc_id"], r["chunk_id"]): r["text"].split("\n\n") for r in chunking.merged(df, 15).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {(1, 0): ["1.0", "1.1", "1.2"], (1, 1): ["1.3", "1.4"], (2, 0): ["2.0"], (3, 0): ["3.0", "3.1", "3.2"], (3, 1): ["3.3"], (None, 0): ["None.0", "None.1"], (None, 1): ["None.2"]}
+
+
 def test_hierarchical(spark):
     df = spark.createDataFrame([(1, 0, "A", 1, "x" * 200, 1, 2), (1, 1, "Blank", 1, "  ", 2, 2), (1, 2, "B", 2, "y" * 150 + "\n\n" + "z" * 150, 2, 3)], "doc_id long, section_idx int, title string, level int, content string, page_start int, page_end int")
     rows = chunking.hierarchical(df).orderBy("chunk_id").collect()
